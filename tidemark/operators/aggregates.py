@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.calendar import slot
-from tidemark.functions.histogram import bin_start
+from tidemark.functions.histogram import HISTOGRAM_PREFIX, bin_label, bin_labels, bin_start
 from tidemark.operators.features import time_since_previous
 from tidemark.plans.lookup import attach
 from tidemark.plans.order import quantiles, value_counts
@@ -251,3 +251,20 @@ def sample_median(
 ) -> DataFrame:
     """Median over sample paths per (series, step)."""
     return quantiles(df, keys, value, {out: 0.5})
+
+
+def fee_histogram(
+    df: DataFrame, keys: Sequence[str], fee: str, count: str
+) -> DataFrame:
+    """Fee/count rows to one column per histogram bin; bins without rows are 0."""
+    labels = bin_labels()
+    binned = df.select(*keys, bin_label(F.col(fee)).alias("_bin"), F.col(count).alias("_c"))
+    small = binned.groupBy(*keys, "_bin").agg(F.sum("_c").cast("double").alias("_c"))
+    return small.groupBy(*keys).agg(
+        *[
+            F.sum(F.when(F.col("_bin") == b, F.col("_c")).otherwise(0.0)).alias(
+                HISTOGRAM_PREFIX + b
+            )
+            for b in labels
+        ]
+    )

@@ -12,6 +12,7 @@ from tidemark.functions.columns import NoDataError, require_columns
 from tidemark.functions.histogram import high_bin_columns
 from tidemark.plans.chunks import CHUNK, nearest_known
 from tidemark.plans.lookup import attach
+from tidemark.session import durable
 
 
 def drop_present(df: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -121,7 +122,12 @@ def regular_grid(binned: DataFrame, keys: Sequence[str], chunk: int = CHUNK) ->
 def onto_grid(
     binned: DataFrame, keys: Sequence[str], step_seconds: int, chunk: int = CHUNK
 ) -> DataFrame:
-    """Re-index binned series to the regular grid; empty bins are null rows."""
+    """Re-index binned series to the regular grid; empty bins are null rows.
+
+    The bins are written once: the span, the list of series and the join all read that small table
+    and not the raw rows again.
+    """
+    binned = durable(binned)
     grid = regular_grid(binned, keys, chunk)
     values = [c for c in binned.columns if c not in (*keys, "slot")]
     return grid.join(binned, [*keys, "slot"], "left").select(

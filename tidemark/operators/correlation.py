@@ -8,6 +8,7 @@ from itertools import combinations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.columns import require_columns, with_prefix
 from tidemark.functions.special import correlation_p
@@ -171,7 +172,7 @@ def group_spearman(
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _p_value(r: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series(
         [None if pd.isna(a) else correlation_p(float(a), int(b)) for a, b in zip(r, n, strict=True)]

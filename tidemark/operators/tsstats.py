@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions import special
 from tidemark.operators.aggregates import above_group_quantile, resample_sweep
@@ -121,10 +122,10 @@ def _levinson(r: np.ndarray) -> np.ndarray:
     phi = np.zeros(0)
     err = r[0]
     for k in range(1, len(r)):
-        if err == 0:
+        if not abs(err) > 0:
             out[k:] = np.nan
             break
-        new = (r[k] - phi @ r[k - 1 : 0 : -1]) / err if k > 1 else r[1] / err
+        new = (r[k] - phi @ r[1:k][::-1]) / err
         phi = np.append(phi - new * phi[::-1], new)
         err *= 1.0 - new * new
         out[k] = new
@@ -327,7 +328,7 @@ def adf_by_week(
     return adf_test(full, [*keys, "week"], pos, value, chunk=chunk)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _chi2(x: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series(
         [
@@ -398,7 +399,7 @@ def arch_lm(
     return sums.select(*keys, "n", F.col("_l").alias("lags"), "gram").mapInPandas(finish, schema)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _normal_quantile(p: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(x) else special.normal_ppf(x) for x in p])
 
@@ -425,7 +426,7 @@ def qq_pairs(df: DataFrame, keys: Sequence[str], pos: str, value: str) -> DataFr
     return attach(pairs.drop("_p"), line, keys, [pos])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _ks_p(d: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series(
         [

@@ -81,6 +81,17 @@ def running_sum(
     )
 
 
+def _edge_aggs(pos: str, c: str) -> dict[str, Column]:
+    """Position and value of the first and last non-null (fixed-width buffers: hash aggregation)."""
+    at = F.when(F.col(c).isNotNull(), F.col(pos))
+    return {
+        f"_lp_{c}": F.max(at),
+        f"_lv_{c}": F.max_by(c, at),
+        f"_fp_{c}": F.min(at),
+        f"_fv_{c}": F.min_by(c, at),
+    }
+
+
 def nearest_known(
     df: DataFrame, keys: Sequence[str], pos: str, values: Sequence[str], chunk: int = CHUNK
 ) -> DataFrame:
@@ -98,9 +109,19 @@ def nearest_known(
             for c in values
         ],
     )
-    edges = rows.groupBy(*keys, "_home").agg(
-        *[F.max(f"_known_{c}").alias(f"_last_{c}") for c in values],
-        *[F.min(f"_known_{c}").alias(f"_first_{c}") for c in values],
+    edges = df.withColumn("_home", chunk_id(pos, chunk)).groupBy(*keys, "_home")
+    edges = edges.agg(*[agg.alias(n) for c in values for n, agg in _edge_aggs(pos, c).items()])
+    edges = edges.select(
+        *keys,
+        "_home",
+        *[
+            F.when(
+                F.col(f"_{side}p_{c}").isNotNull(),
+                F.struct(F.col(f"_{side}p_{c}").alias("p"), F.col(f"_{side}v_{c}").alias("v")),
+            ).alias(f"_{name}_{c}")
+            for c in values
+            for side, name in (("l", "last"), ("f", "first"))
+        ],
     )
     by_chunk = Window.partitionBy(*keys)
     before = (Window.unboundedPreceding, -1)

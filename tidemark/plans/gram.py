@@ -30,6 +30,7 @@ def gram(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFram
                 continue
             for key, part in batch.groupby(keys, sort=False):
                 x = part[columns].to_numpy(dtype="float64")
+                x = x[~np.isnan(x).any(axis=1)]
                 cross = x.T @ x
                 out = pd.DataFrame(
                     {
@@ -42,9 +43,7 @@ def gram(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFram
                     out.insert(0, name, k)
                 yield out[[*keys, "i", "j", "s"]]
 
-    rows = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns]).na.drop(
-        subset=columns
-    )
+    rows = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns])
     return rows.mapInPandas(partial, schema).groupBy(*keys, "i", "j").agg(F.sum("s").alias("s"))
 
 

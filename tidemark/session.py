@@ -47,9 +47,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a small or expensive intermediate with a reliable checkpoint."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write an intermediate that several branches read as a table in the shared folder.
+
+    The lineage ends there, so a lost executor costs a re-read and not a second scan of the raw
+    data; and Spark knows the table's real size when it picks join strategies.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, "step")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
