@@ -1 +1,331 @@
+"""Forecasters, back-tests, leaderboard (M12-M21)."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidemark.functions.calendar import cyclic
+from tidemark.functions.loss import METRICS
+from tidemark.operators import forecast as fc
+from tidemark.operators.additive import additive_forecast, additive_grid_search
+from tidemark.operators.features import lag_features, shift_features
+from tidemark.operators.metrics import evaluate, leaderboard
+from tidemark.operators.reshape import assign_folds, parameter_grid
+from tidemark.operators.splits import (
+    counted_folds,
+    lengths,
+    rolling_origin_folds,
+    sample_configs,
+    weekly_folds,
+    window_folds,
+)
+from tidemark.operators.trees import tree_forecast, tree_random_search
+from tidemark.queries.registry import (
+    DAY,
+    HORIZON,
+    KEYS,
+    WEEK,
+    dense,
+    last_day,
+    metrics_sql,
+    query,
+    raw_metrics_sql,
+    rd,
+    round_metrics,
+    rs,
+    sql,
+)
+from tidemark.queries.rows_q import SCORE_CTES
+from tidemark.session import durable
+
+FIXED = {"alpha": [0.3], "beta": [0.05], "gamma": [0.1], "phi": [1.0]}
+
+
+def _one_config(spark, trend, seasonal, damped=False):
+    rows = [(0, trend, seasonal, damped)]
+    return spark.createDataFrame(
+        rows, "config_id int, trend string, seasonal string, damped boolean"
+    )
+
+
+@query("m12_median_forecast", sql(f"SELECT series_id, pos, {rs('y_pred', 7)} AS y_pred FROM median_day"))
+def m12(spark, sf):
+    out = fc.median_forecast(last_day(spark, sf), KEYS, "pos", "value")
+    return out.select("series_id", "pos", rd("y_pred", 7).alias("y_pred"))
+
+
+HW_CTES = f"""
+hw_train AS (
+  SELECT d.series_id, d.pos, d.value FROM dense d JOIN sizes s ON s.series_id = d.series_id
+  WHERE d.pos < s.n - {HORIZON}),
+hw_start AS (
+  SELECT series_id, l0, (l1 - l0) / {DAY} AS b0,
+    list_transform(firsts, lambda x: x - l0) AS season FROM (
+    SELECT series_id, avg(CASE WHEN pos < {DAY} THEN value END) AS l0,
+      avg(CASE WHEN pos >= {DAY} AND pos < {2 * DAY} THEN value END) AS l1,
+      list(value ORDER BY pos) FILTER (WHERE pos < {DAY}) AS firsts FROM hw_train GROUP BY 1)),
+hw AS (
+  SELECT series_id, CAST(0 AS BIGINT) AS t, l0 AS level, b0 AS slope, season FROM hw_start
+  UNION ALL
+  SELECT h.series_id, h.t + 1,
+    0.3 * (y.value - h.season[1]) + 0.7 * (h.level + h.slope),
+    0.05 * (0.3 * (y.value - h.season[1]) + 0.7 * (h.level + h.slope) - h.level) + 0.95 * h.slope,
+    list_append(h.season[2:], 0.1 * (y.value - h.level - h.slope) + 0.9 * h.season[1])
+  FROM hw h JOIN hw_train y ON y.series_id = h.series_id AND y.pos = h.t)"""
+
+
+@query(
+    "m13_holt_winters_fixed",
+    sql(
+        f"SELECT h.series_id, h.t + i - 1 AS pos, {rs('h.level + i * h.slope + h.season[i]', 7)} AS y_pred "
+        "FROM hw h JOIN (SELECT series_id, max(t) AS t FROM hw GROUP BY 1) e "
+        f"ON e.series_id = h.series_id AND e.t = h.t, generate_series(1, {HORIZON}) g(i)",
+        HW_CTES.strip(),
+    ),
+)
+def m13(spark, sf):
+    out = fc.holt_winters(
+        last_day(spark, sf), KEYS, "pos", "value", DAY, _one_config(spark, "add", "add"), FIXED
+    )
+    return out.select("series_id", "pos", rd("y_pred", 7).alias("y_pred"))
+
+
+@query("m13_holt_winters_all_forms")
+def m13b(spark, sf):
+    return fc.holt_winters(last_day(spark, sf), KEYS, "pos", "value", DAY, fc.hw_configs(spark))
+
+
+@query("m13_holt_winters_residuals")
+def m13c(spark, sf):
+    return fc.holt_winters_fitted(
+        last_day(spark, sf), KEYS, "pos", "value", DAY, _one_config(spark, "add", "add", True)
+    )
+
+
+@query("m14_holt_winters_cv")
+def m14(spark, sf):
+    d = dense(spark, sf)
+    folds = window_folds(lengths(d, KEYS, "pos"), KEYS, 336, 168, HORIZON)
+    return fc.holt_winters_cv(d, folds, KEYS, "pos", "value", DAY, fc.hw_configs(spark))
+
+
+@query("m15_seasonal_arma")
+def m15(spark, sf):
+    return fc.seasonal_arma(durable(last_day(spark, sf)), KEYS, "pos", "value", DAY)
+
+
+TREE_LAGS = [1, 2, 3, 24]
+TREE_FEATURES = ["value_now", *[f"value_lag_{k}" for k in TREE_LAGS], "hour_sin", "hour_cos"]
+
+
+def tree_rows(spark, sf):
+    """Target with features as they were one horizon earlier, calendar of the target's own hour."""
+    d = lag_features(dense(spark, sf), KEYS, "pos", "value", TREE_LAGS)
+    d = d.withColumn("value_now", F.col("value"))
+    shifted = shift_features(
+        d, KEYS, "pos", ["value_now", *[f"value_lag_{k}" for k in TREE_LAGS]], HORIZON
+    )
+    hour = cyclic("ts")
+    return durable(
+        shifted.select("*", hour["hour_sin"].alias("hour_sin"), hour["hour_cos"].alias("hour_cos"))
+    )
+
+
+TREE_PARAMS = {"config_id": 0, "n_estimators": 5, "max_depth": 3, "learning_rate": 0.1}
+
+
+@query("m16_boosted_trees")
+def m16(spark, sf):
+    rows = tree_rows(spark, sf)
+    folds = fc.last_day_fold(lengths(rows, KEYS, "pos"), KEYS, HORIZON)
+    assigned = assign_folds(rows, folds, KEYS, "pos")
+    return tree_forecast(assigned, KEYS, "pos", "value", TREE_FEATURES, TREE_PARAMS)
+
+
+@query("m17_tree_random_search")
+def m17(spark, sf):
+    rows = tree_rows(spark, sf)
+    folds = counted_folds(lengths(rows, KEYS, "pos"), KEYS, 2, HORIZON)
+    assigned = durable(assign_folds(rows, folds, KEYS, "pos"))
+    grid = parameter_grid(
+        spark,
+        {"n_estimators": [3, 5], "max_depth": [2, 3], "learning_rate": [0.1]},
+        "n_estimators int, max_depth int, learning_rate double",
+    )
+    configs = [r.asDict() for r in sample_configs(grid, 2).collect()]
+    return tree_random_search(assigned, KEYS, "pos", "value", TREE_FEATURES, configs)[0]
+
+
+TERMS = {"daily": (1.0, 3), "weekly": (7.0, 2)}
+ADDITIVE = {
+    "config_id": 0,
+    "changepoint_prior_scale": 0.1,
+    "seasonality_prior_scale": 10.0,
+    "seasonality_mode": "multiplicative",
+    "changepoint_range": 0.8,
+    "n_changepoints": 5,
+}
+
+
+@query("m18_additive_model")
+def m18(spark, sf):
+    a = durable(last_day(spark, sf))
+    return additive_forecast(a, KEYS, "pos", "ts", "value", [ADDITIVE], TERMS)
+
+
+@query("m19_additive_grid_search")
+def m19(spark, sf):
+    d = dense(spark, sf)
+    folds = rolling_origin_folds(lengths(d, KEYS, "pos"), KEYS, WEEK, 5 * DAY, HORIZON)
+    assigned = durable(assign_folds(d, folds, KEYS, "pos"))
+    configs = []
+    for mode in ("additive", "multiplicative"):
+        for cps in (0.01, 0.5):
+            for sps in (5.0, 20.0):
+                configs.append(
+                    {
+                        **ADDITIVE,
+                        "config_id": len(configs),
+                        "seasonality_mode": mode,
+                        "changepoint_prior_scale": cps,
+                        "seasonality_prior_scale": sps,
+                    }
+                )
+    return additive_grid_search(assigned, KEYS, "pos", "ts", "value", configs, TERMS)
+
+
+# ---------------------------------------------------------------- back-tests
+
+FOLD_SOURCE = {
+    "expanding": (
+        f"SELECT series_id, i AS fold, 0 AS a, i * {WEEK} AS b, i * {WEEK} + {HORIZON} AS c FROM sizes, "
+        f"generate_series(1, 1000) g(i) WHERE i * {WEEK} + {HORIZON} <= n"
+    ),
+    "sliding": (
+        f"SELECT series_id, i AS fold, (i - 1) * {WEEK} AS a, i * {WEEK} AS b, i * {WEEK} + {HORIZON} AS c "
+        f"FROM sizes, generate_series(1, 1000) g(i) WHERE i * {WEEK} + {HORIZON} <= n"
+    ),
+    "reverse": (
+        f"SELECT series_id, i AS fold, greatest(0, n - {HORIZON} - i * {WEEK}) AS a, n - {HORIZON} AS b, n AS c "
+        f"FROM sizes, generate_series(1, 1000) g(i) WHERE i <= (n - {HORIZON}) // {WEEK}"
+    ),
+}
+
+
+def median_backtest_sql(mode: str) -> str:
+    ctes = f"""
+bt_folds AS ({FOLD_SOURCE[mode]}),
+bt_level AS (SELECT f.series_id, f.fold, quantile_cont(d.value, 0.5) AS y_pred FROM bt_folds f
+  JOIN dense d ON d.series_id = f.series_id AND d.pos >= f.a AND d.pos < f.b GROUP BY 1, 2),
+bt AS (SELECT f.series_id, CAST(f.fold AS INTEGER) AS fold, d.value AS y_true, l.y_pred FROM bt_folds f
+  JOIN dense d ON d.series_id = f.series_id AND d.pos >= f.b AND d.pos < f.c
+  JOIN bt_level l ON l.series_id = f.series_id AND l.fold = f.fold)"""
+    return sql(metrics_sql("bt", "series_id, fold"), ctes.strip())
+
+
+def naive_backtest_sql(mode: str) -> str:
+    ctes = f"""
+bt_folds AS ({FOLD_SOURCE[mode]}),
+bt AS (SELECT f.series_id, CAST(f.fold AS INTEGER) AS fold, d.value AS y_true, p.value AS y_pred
+  FROM bt_folds f
+  JOIN dense d ON d.series_id = f.series_id AND d.pos >= f.b AND d.pos < f.c
+  JOIN dense p ON p.series_id = d.series_id AND p.pos = d.pos - {DAY})"""
+    return sql(metrics_sql("bt", "series_id, fold"), ctes.strip())
+
+
+def _weekly(spark, sf, mode):
+    d = dense(spark, sf)
+    return d, weekly_folds(lengths(d, KEYS, "pos"), KEYS, mode, WEEK, HORIZON)
+
+
+def _naive(assigned):
+    return fc.seasonal_naive(assigned, KEYS, "pos", "value", DAY)
+
+
+def _median(assigned):
+    return fc.median_forecast(assigned, KEYS, "pos", "value")
+
+
+def _register_backtests():
+    for mode in ("expanding", "sliding", "reverse"):
+
+        def naive(spark, sf, mode=mode):
+            d, folds = _weekly(spark, sf, mode)
+            return round_metrics(fc.backtest(d, folds, _naive))
+
+        def median(spark, sf, mode=mode):
+            d, folds = _weekly(spark, sf, mode)
+            return round_metrics(fc.backtest(d, folds, _median))
+
+        query(f"m20_backtest_naive_{mode}", naive_backtest_sql(mode))(naive)
+        query(f"m20_backtest_median_{mode}", median_backtest_sql(mode))(median)
+
+        def smoothing(spark, sf, mode=mode):
+            d, folds = _weekly(spark, sf, mode)
+            one = _one_config(spark, "add", "add", True)
+
+            def model(assigned):
+                return fc.holt_winters(assigned, KEYS, "pos", "value", DAY, one).drop("config_id")
+
+            return fc.backtest(d, folds, model)
+
+        def arma(spark, sf, mode=mode):
+            d, folds = _weekly(spark, sf, mode)
+            return fc.backtest(
+                d, folds, lambda a: fc.seasonal_arma(durable(a), KEYS, "pos", "value", DAY)
+            )
+
+        query(f"m20_backtest_holt_winters_{mode}")(smoothing)
+        query(f"m20_backtest_arma_{mode}")(arma)
+
+
+_register_backtests()
+
+
+@query("m20_backtest_trees_expanding")
+def m20_trees(spark, sf):
+    rows = tree_rows(spark, sf)
+    folds = weekly_folds(lengths(rows, KEYS, "pos"), KEYS, "expanding", WEEK, HORIZON)
+
+    def model(assigned):
+        return tree_forecast(
+            durable(assigned), KEYS, "pos", "value", TREE_FEATURES, TREE_PARAMS
+        )
+
+    return fc.backtest(rows, folds, model)
+
+
+@query(
+    "m21_leaderboard_baselines",
+    sql(
+        f"SELECT series_id, model, {rs('mae + std_diff + dev_error')} AS custom_loss, {rs('std_diff')} AS std_diff, "
+        f"{rs('rmse')} AS rmse, CAST(rank() OVER (PARTITION BY series_id ORDER BY mae + std_diff + dev_error) AS INTEGER) "
+        f"AS rank FROM {raw_metrics_sql('both_models', 'model, series_id')}",
+        SCORE_CTES.strip(),
+    ),
+)
+def m21(spark, sf):
+    d = dense(spark, sf)
+    folds = fc.last_day_fold(lengths(d, KEYS, "pos"), KEYS, HORIZON)
+    both = fc.compare_models(d, folds, {"naive": _naive, "median": _median})
+    return round_metrics(leaderboard(evaluate(both, [*KEYS, "model"]), KEYS))
+
+
+@query("m21_leaderboard_all_models")
+def m21b(spark, sf):
+    d = dense(spark, sf)
+    folds = fc.last_day_fold(lengths(d, KEYS, "pos"), KEYS, HORIZON)
+    smoothing = _one_config(spark, "add", "add", True)
+    models = {
+        "median": _median,
+        "naive": _naive,
+        "holt_winters": lambda a: fc.holt_winters(
+            a, KEYS, "pos", "value", DAY, smoothing
+        ),
+        "arma": lambda a: fc.seasonal_arma(durable(a), KEYS, "pos", "value", DAY),
+        "additive": lambda a: additive_forecast(
+            durable(a), KEYS, "pos", "ts", "value", [ADDITIVE], TERMS
+        ),
+    }
+    every = durable(fc.compare_models(d, folds, models))
+    return leaderboard(evaluate(every, ["model"])).select("model", *[m for m in METRICS if m in ("custom_loss", "std_diff", "rmse")], "rank")

@@ -114,7 +114,7 @@ def m05(spark, sf):
 ENC, MIN_ENC = 48, 24
 WINDOW_SQL = (
     "SELECT series_id, origin, CAST(encoder_length AS INTEGER) AS encoder_length, "
-    f"CAST(decoder_length AS INTEGER) AS decoder_length, {rs('enc_sum', 4)} AS enc_sum, {rs('dec_sum', 4)} AS dec_sum, "
+    f"CAST(decoder_length AS INTEGER) AS decoder_length, {rs('enc_sum', 7)} AS enc_sum, {rs('dec_sum', 7)} AS dec_sum, "
     f"{rs('first_enc')} AS first_enc, {rs('last_dec')} AS last_dec FROM ("
     "SELECT o.series_id, o.pos AS origin, count(CASE WHEN d.pos < o.pos THEN 1 END) AS encoder_length, "
     "count(CASE WHEN d.pos >= o.pos THEN 1 END) AS decoder_length, "
@@ -132,8 +132,8 @@ def _window_summary(out):
         "origin",
         "encoder_length",
         "decoder_length",
-        rd(total("encoder"), 4).alias("enc_sum"),
-        rd(total("decoder"), 4).alias("dec_sum"),
+        rd(total("encoder"), 7).alias("enc_sum"),
+        rd(total("decoder"), 7).alias("dec_sum"),
         rd(F.element_at("encoder", 1)).alias("first_enc"),
         rd(F.element_at("decoder", -1)).alias("last_dec"),
     )
