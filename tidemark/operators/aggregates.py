@@ -91,7 +91,7 @@ def above_group_quantile(
     """Flag rows above their own group's quantile."""
     levels = quantiles(df, by, value, {"_level": q})
     return (
-        attach(df, levels, by, [value])
+        attach(df, levels, by)
         .withColumn(flag, F.coalesce(F.col(value) > F.col("_level"), F.lit(False)))
         .drop("_level")
     )
@@ -140,19 +140,20 @@ def equal_width_histogram(
         stats = stats.withColumn("_k", F.greatest(count, F.lit(1)).cast("int")).drop("_q1", "_q3")
     else:
         stats = stats.withColumn("_k", F.lit(int(bins)))
-    stats = stats.withColumn("_w", (F.col("_hi") - F.col("_lo")) / F.col("_k"))
+    stats = stats.withColumn("_width", (F.col("_hi") - F.col("_lo")) / F.col("_k"))
     raw_bin = F.coalesce(
-        F.floor(F.try_divide(F.col(value) - F.col("_lo"), F.col("_w"))), F.lit(0)
+        F.floor(F.try_divide(F.col(value) - F.col("_lo"), F.col("_width"))), F.lit(0)
     )
-    placed = attach(known, stats, keys, [value]).withColumn(
+    # equal values are counted first, so a value that fills a third of the rows is one row here
+    placed = attach(value_counts(known, keys, value), stats, keys, [value]).withColumn(
         "bin", F.least(raw_bin, F.col("_k") - 1).cast("int")
     )
-    counts = placed.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n"))
+    counts = placed.groupBy(*keys, "bin").agg(F.sum("_w").alias("n"))
     frame = stats.withColumn("bin", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
     return frame.join(counts, [*keys, "bin"], "left").select(
         *keys,
         "bin",
-        (F.col("_lo") + F.col("_w") * F.col("bin")).alias("left_edge"),
+        (F.col("_lo") + F.col("_width") * F.col("bin")).alias("left_edge"),
         F.coalesce("n", F.lit(0)).cast("bigint").alias("n"),
     )
 
@@ -218,7 +219,7 @@ def box_stats(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = (v >= F.col("q1") - reach) & (v <= F.col("q3") + reach)
     return (
-        attach(df.filter(v.isNotNull()).select(*by, value), q, by, [value])
+        attach(value_counts(df, by, value), q, by, [value])
         .groupBy(*by)
         .agg(
             F.max("q1").alias("q1"),
@@ -226,7 +227,7 @@ def box_stats(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
             F.max("q3").alias("q3"),
             F.min(F.when(inside, v)).alias("whisker_lo"),
             F.max(F.when(inside, v)).alias("whisker_hi"),
-            F.count_if(~inside).alias("n_outliers"),
+            F.sum(F.when(~inside, F.col("_w")).otherwise(0)).alias("n_outliers"),
         )
     )
 

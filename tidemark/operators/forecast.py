@@ -20,6 +20,7 @@ from tidemark.plans.chunks import CHUNK, over_halo
 from tidemark.plans.gram import gram, key_ddl, matrix, packed, solve
 from tidemark.plans.lookup import attach
 from tidemark.plans.order import quantiles
+from tidemark.session import durable
 
 # A state recursion needs one series' training window in order in one task. Windows live on the
 # regular grid, so their length is time span / step whatever the number of raw rows; a longer one
@@ -285,7 +286,7 @@ def holt_winters_cv(
     configs: DataFrame,
 ) -> DataFrame:
     """Every configuration on every fold, averaged per (series, configuration), best first."""
-    assigned = assign_folds(df, folds, keys, pos)
+    assigned = durable(assign_folds(df, folds, keys, pos))
     forecast = holt_winters(assigned, keys, pos, value, period, configs)
     scored = score_folds(assigned, forecast, keys, pos, value, ["config_id"])
     ranking = cv_scores(scored, [*keys, "config_id"])
@@ -435,7 +436,7 @@ def backtest(
     chunk: int = CHUNK,
 ) -> DataFrame:
     """Fit and score one forecaster on every fold; a failed fold is left out."""
-    assigned = assign_folds(df, folds, keys, pos, chunk)
+    assigned = durable(assign_folds(df, folds, keys, pos, chunk))
     scored = score_folds(assigned, model(assigned), keys, pos, value)
     return scored.filter(F.col("custom_loss").isNotNull())
 
@@ -448,8 +449,10 @@ def compare_models(
     pos: str = "pos",
     value: str = "value",
 ) -> DataFrame:
-    """All models' forecasts on the same folds in one table with the actuals."""
-    assigned = assign_folds(df, folds, keys, pos)
+    """All models' forecasts on the same folds in one table with the actuals.
+
+    The fold-assigned rows are written once; every model and the scoring read that table."""
+    assigned = durable(assign_folds(df, folds, keys, pos))
     by = [*keys, "fold", pos]
     tables = None
     for name, model in models.items():

@@ -10,17 +10,21 @@ from pyspark.sql import functions as F
 from tidemark.functions import loss
 from tidemark.functions.columns import require_columns
 from tidemark.operators.reshape import to_wide, transpose_metrics
-from tidemark.plans.lookup import attach
+from tidemark.plans.lookup import attach, attach_agg
 
 
-def _with_mean_error(df: DataFrame, by: Sequence[str], spread: Sequence[str]) -> DataFrame:
-    means = F.avg(loss.error()).alias("_me")
-    stats = df.groupBy(*by).agg(means) if by else df.agg(means)
-    return attach(df, stats, by, spread)
+def _scored_rows(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """Only the needed columns, and which of them tell the rows of one group apart."""
+    require_columns(df, [*by, "y_true", "y_pred"])
+    apart = [c for c in ("pos", "slot", "ts", "step") if c in df.columns and c not in by][:1]
+    return df.select(*by, *apart, "y_true", "y_pred"), [*apart, "y_true", "y_pred"]
 
 
-def _checked(df: DataFrame, by: Sequence[str]) -> DataFrame:
-    return require_columns(df, [*by, "y_true", "y_pred"]).select(*by, "y_true", "y_pred")
+def _with_mean_error(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    rows, apart = _scored_rows(df, by)
+    means = F.avg(loss.error()).alias("_me")
+    stats = rows.groupBy(*by).agg(means) if by else rows.agg(means)
+    return attach(rows, stats, by, apart)
 
 
 def evaluate(
@@ -33,7 +37,7 @@ def evaluate(
     """Six metrics per group. A group with a missing actual or forecast scores null, the table
     form of two arrays of unequal length."""
     by = list(by)
-    rows = _with_mean_error(_checked(df, by), by, ["y_true", "y_pred"])
+    rows = _with_mean_error(df, by)
     aggs = [
         loss.std_diff().alias("std_diff"),
         loss.dev_error("_me").alias("dev_error"),
@@ -56,7 +60,7 @@ def evaluate(
 
 def per_series_metrics(df: DataFrame, key: str = "series_id") -> DataFrame:
     """MAE, RMSE, plain MAPE and composite loss per series, best first."""
-    rows = _with_mean_error(_checked(df, [key]), [key], ["y_true", "y_pred"])
+    rows = _with_mean_error(df, [key])
     scored = rows.groupBy(key).agg(
         loss.mae().alias("MAE"),
         loss.rmse().alias("RMSE"),
@@ -72,11 +76,9 @@ def per_series_metrics(df: DataFrame, key: str = "series_id") -> DataFrame:
 
 def deviation_errors(df: DataFrame, by: Sequence[str]) -> DataFrame:
     """Element-wise deviation error of every forecast row."""
-    keep = df.columns
-    rows = _with_mean_error(df, by, ["y_true", "y_pred"])
-    return rows.withColumn("dev_error", F.abs(loss.error() - F.col("_me"))).select(
-        *keep, "dev_error"
-    )
+    require_columns(df, [*by, "y_true", "y_pred"])
+    rows = attach_agg(df, by, None, F.avg(loss.error()).alias("_me"))
+    return rows.withColumn("dev_error", F.abs(loss.error() - F.col("_me"))).drop("_me")
 
 
 def training_loss(
@@ -96,7 +98,8 @@ def training_loss(
         F.avg(F.abs(loss.error())).alias("_mae"),
         F.abs(F.stddev_samp("y_pred") - F.stddev_samp("y_true")).alias("_sp"),
     )
-    rows = attach(df.select(*by, "y_true", "y_pred"), stats, by, ["y_true", "y_pred"])
+    rows, apart = _scored_rows(df, by)
+    rows = attach(rows, stats, by, apart)
 
     def clipped(w, limit):
         return w if limit is None else F.least(w, F.lit(float(limit)))

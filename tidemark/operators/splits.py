@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import double_columns
@@ -81,7 +81,7 @@ def min_max_scale(
         F.when(span == 0, F.lit(1.0)).otherwise(span).alias("scale_range"),
         F.lit(abs(lo) + 1e-3 if lo <= 0 else 0.0).alias("scale_shift"),
     )
-    rows = attach(df, stats, by, [value])
+    rows = attach(df, stats, by)
     unit = (F.col(value) - F.col("scale_min")) / F.col("scale_range")
     return rows.withColumn("scaled", unit * F.lit(hi - lo) + F.lit(lo) + F.col("scale_shift"))
 
@@ -94,7 +94,7 @@ def normalise_target(
     stats = train.groupBy(*keys).agg(
         F.avg(value).alias("target_center"), F.stddev_samp(value).alias("target_scale")
     )
-    rows = attach(df, stats, keys, [value])
+    rows = attach(df, stats, keys)
     return rows.withColumn(
         "target_norm",
         F.try_divide(F.col(value) - F.col("target_center"), F.col("target_scale")),
@@ -240,35 +240,55 @@ def encoder_windows(
 ) -> DataFrame:
     """One row per (series, origin): encoder history, decoder future, as arrays.
 
-    The origin is the first decoder step. Rows are cut in chunks with a halo of one encoder and one
-    decoder length; each array is a sliding ``collect_list`` over a bounded frame. ``last_only``
-    keeps the final window of each series (the validation set).
+    The origin is the first decoder step. Rows gather once per chunk, with a halo of one encoder
+    and one decoder length, and every window is a slice of its chunk's array, so neither a series
+    nor its overlapping windows are shuffled. ``pos`` must be dense. ``last_only`` keeps the final
+    window of each series (the validation set) and gathers only the rows it needs.
     """
     keys = list(keys)
     top = df.groupBy(*keys).agg(F.max(pos).alias("_top"))
-    wide, _ = with_halo(df, pos, before=max_encoder, after=horizon - 1, chunk=chunk)
-    w = Window.partitionBy(*keys, "_chunk").orderBy(pos)
-    back = w.rowsBetween(-max_encoder, -1)
-    ahead = w.rowsBetween(0, horizon - 1)
-    arrays = {"encoder": F.collect_list(value).over(back)}
-    arrays["decoder"] = F.collect_list(value).over(ahead)
-    for c in covariates:
-        arrays[f"encoder_{c}"] = F.collect_list(c).over(back)
-    built = (
-        wide.select(*keys, F.col(pos).alias("origin"), "_home", "_chunk",
-                    *[v.alias(k) for k, v in arrays.items()])
-        .filter(F.col("_home") == F.col("_chunk"))
-        .drop("_home", "_chunk")
-    )
-    rows = attach(built, top, keys, ["origin"])
-    full = (F.size("encoder") >= min_encoder) & (F.size("decoder") == horizon)
+    rows = attach(df.select(*keys, pos, value, *covariates), top, keys, [pos])
     if last_only:
-        keep = full & (F.col("origin") == F.col("_top") - horizon + 1)
+        rows = rows.filter(F.col(pos) > F.col("_top") - horizon - max_encoder)
+    wide, size = with_halo(rows, pos, before=max_encoder, after=horizon - 1, chunk=chunk)
+    names = {value: "", **{c: f"_{c}" for c in covariates}}
+    packed = (
+        wide.groupBy(*keys, "_chunk")
+        .agg(
+            F.max("_top").alias("_top"),
+            F.array_sort(F.collect_list(F.struct(pos, *names))).alias("_rows"),
+        )
+        .withColumn("_first", F.element_at("_rows", 1)[pos])
+    )
+    packed = packed.select(
+        *keys,
+        "_chunk",
+        "_top",
+        "_first",
+        *[F.col("_rows")[c].alias(f"_all{s}") for c, s in names.items()],
+    )
+    if last_only:
+        origins = F.array(F.col("_top") - horizon + 1)
     else:
-        keep = full & ((F.col("origin") - min_encoder) % stride == 0)
-    return (
-        rows.filter(keep)
-        .drop("_top")
-        .withColumn("encoder_length", F.size("encoder"))
-        .withColumn("decoder_length", F.size("decoder"))
+        begin = F.greatest(F.col("_chunk") * size, F.lit(min_encoder))
+        begin = begin + F.pmod(F.lit(min_encoder) - begin, F.lit(stride))
+        end = F.least((F.col("_chunk") + 1) * size - 1, F.col("_top") - horizon + 1)
+        origins = F.when(begin <= end, F.sequence(begin, end, F.lit(stride).cast("bigint")))
+    at = packed.withColumn("origin", F.explode(origins)).filter(
+        F.floor(F.col("origin") / size) == F.col("_chunk")
+    )
+    start = F.greatest(F.col("origin") - max_encoder, F.col("_first"))
+    length = F.col("origin") - start
+    decoder = F.slice("_all", F.col("origin") - F.col("_first") + 1, F.lit(horizon))
+    encoders = [
+        F.slice(f"_all{s}", start - F.col("_first") + 1, length).alias(f"encoder{s}")
+        for s in names.values()
+    ]
+    return at.filter((length >= min_encoder) & (F.col("origin") >= F.col("_first"))).select(
+        *keys,
+        "origin",
+        *encoders,
+        decoder.alias("decoder"),
+        length.cast("int").alias("encoder_length"),
+        F.size(decoder).alias("decoder_length"),
     )

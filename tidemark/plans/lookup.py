@@ -7,33 +7,58 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import durable
+
 SALTS = 16
+MAX_SALTS = 4096
+GIB = 1 << 30
+LARGE_BYTES = GIB
+BROADCAST_BYTES = 32 << 20
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the tables a plan reads, as Spark's statistics state them."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
 
 
 def attach(
     df: DataFrame,
     stats: DataFrame,
     keys: Sequence[str],
-    spread_by: Sequence[str | Column],
+    spread_by: Sequence[str | Column] | None = None,
     how: str = "left",
-    salts: int = SALTS,
+    large: int | None = None,
+    broadcast_limit: int | None = None,
 ) -> DataFrame:
     """Join one row per group (``stats``) to the rows of ``df``.
 
-    A group may hold a third of ``df``, so rows are spread over ``salts`` join keys by a hash of
-    ``spread_by`` and the (one row per group) right side is repeated that often. The salt depends
-    on row content only, so a recomputed task sends its rows to the same place. Spark still turns
-    this into a broadcast join when the right side turns out to be small.
+    When ``df`` is large the group table is written first, so its size is known: if it is small
+    it is broadcast and the rows do not shuffle at all. Otherwise, and for small inputs where
+    Spark's own choice is good, rows are spread over several join keys per group by a hash of
+    ``spread_by`` (default: all columns) and the group table is repeated that often, because one
+    group may hold a third of the rows. The salt depends on row content only, so a recomputed task
+    sends its rows to the same place.
     """
     keys = list(keys)
     if not keys:
         names = stats.columns
         row = stats.select(F.struct(*names).alias("_one")).scalar()
-        return (
-            df.withColumn("_one", row)
-            .select(*df.columns, *[F.col(f"_one.{c}").alias(c) for c in names])
+        out = df.withColumn("_one", row).select(
+            *df.columns, *[F.col(f"_one.{c}").alias(c) for c in names]
         )
-    left = df.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
+        return out
+    large = LARGE_BYTES if large is None else large
+    limit = BROADCAST_BYTES if broadcast_limit is None else broadcast_limit
+    salts = SALTS
+    size = input_bytes(df)
+    if size > large:
+        stats = durable(stats)
+        if input_bytes(stats) <= limit:
+            return df.join(F.broadcast(stats), keys, how)
+        salts = max(SALTS, min(MAX_SALTS, size // GIB))
+    spread = list(spread_by) if spread_by else [F.col(c) for c in df.columns]
+    left = df.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
     right = stats.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
@@ -41,7 +66,7 @@ def attach(
 def attach_agg(
     df: DataFrame,
     keys: Sequence[str],
-    spread_by: Sequence[str | Column],
+    spread_by: Sequence[str | Column] | None,
     *aggs: Column,
 ) -> DataFrame:
     """Group aggregate joined back to every row; the scalable form of ``agg() over (partition)``."""

@@ -11,13 +11,13 @@ from tidemark.operators.features import week_index
 from tidemark.operators.tsstats import decompose
 from tidemark.functions.calendar import slot_start
 from tidemark.queries.registry import (
+    both_models,
     DAY,
     KEYS,
     TYPES,
     daily_orders,
     dense,
     events,
-    median_day,
     metrics_sql,
     naive_forecast,
     query,
@@ -195,8 +195,7 @@ def a10(spark, sf):
 
 @query("a11_six_metrics", sql(metrics_sql("both_models", "model, series_id"), SCORE_CTES.strip()))
 def a11(spark, sf):
-    both = naive_forecast(spark, sf).withColumn("model", F.lit("naive"))
-    both = both.unionByName(median_day(spark, sf).withColumn("model", F.lit("median")))
+    both = both_models(spark, sf)
     return round_metrics(metrics.evaluate(both, ["model", "series_id"]))
 
 

@@ -26,6 +26,8 @@ from tidemark.queries.registry import (
     hourly,
     query,
     rd,
+    rf,
+    rfs,
     rs,
     sql,
     table,
@@ -213,7 +215,7 @@ ROLL_SQL = (
 def roll_sql(ids: str, src: str, part: str, order: str, n: int) -> str:
     mean, std = (e.format(n=n) for e in ROLL_SQL)
     return (
-        f"SELECT {ids}, {rs(mean, 8)} AS roll_mean, {rs(std, 8)} AS roll_std FROM {src} "
+        f"SELECT {ids}, {rfs(mean)} AS roll_mean, {rfs(std)} AS roll_std FROM {src} "
         f"WINDOW w AS (PARTITION BY {part} ORDER BY {order} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
     )
 
@@ -222,7 +224,7 @@ def roll_sql(ids: str, src: str, part: str, order: str, n: int) -> str:
 def w04(spark, sf):
     out = features.rolling_stats(dense(spark, sf), KEYS, "pos", "value", DAY)
     return out.select(
-        "series_id", "pos", rd("roll_mean", 8).alias("roll_mean"), rd("roll_std", 8).alias("roll_std")
+        "series_id", "pos", rf("roll_mean").alias("roll_mean"), rf("roll_std").alias("roll_std")
     )
 
 
@@ -232,7 +234,7 @@ def w04(spark, sf):
 def w04b(spark, sf):
     out = features.rolling_stats_rows(events(spark, sf), KEYS, ["ts", "event_id"], "value", 288)
     return out.select(
-        "event_id", rd("roll_mean", 8).alias("roll_mean"), rd("roll_std", 8).alias("roll_std")
+        "event_id", rf("roll_mean").alias("roll_mean"), rf("roll_std").alias("roll_std")
     )
 
 
@@ -281,11 +283,11 @@ centered AS (
 
 @query(
     "w08_centered_average",
-    sql(f"SELECT series_id, pos, {rs('trend', 8)} AS trend FROM centered", CENTERED.strip()),
+    sql(f"SELECT series_id, pos, {rfs('trend')} AS trend FROM centered", CENTERED.strip()),
 )
 def w08(spark, sf):
     out = features.centered_average(dense(spark, sf), KEYS, "pos", "value", DAY)
-    return out.select("series_id", "pos", rd("trend", 8).alias("trend"))
+    return out.select("series_id", "pos", rf("trend").alias("trend"))
 
 
 @query(

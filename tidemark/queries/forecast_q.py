@@ -272,7 +272,7 @@ def _register_backtests():
         def arma(spark, sf, mode=mode):
             d, folds = _weekly(spark, sf, mode)
             return fc.backtest(
-                d, folds, lambda a: fc.seasonal_arma(durable(a), KEYS, "pos", "value", DAY)
+                d, folds, lambda a: fc.seasonal_arma(a, KEYS, "pos", "value", DAY)
             )
 
         query(f"m20_backtest_holt_winters_{mode}")(smoothing)
@@ -289,7 +289,7 @@ def m20_trees(spark, sf):
 
     def model(assigned):
         return tree_forecast(
-            durable(assigned), KEYS, "pos", "value", TREE_FEATURES, TREE_PARAMS
+            assigned, KEYS, "pos", "value", TREE_FEATURES, TREE_PARAMS
         )
 
     return fc.backtest(rows, folds, model)
@@ -307,7 +307,7 @@ def m20_trees(spark, sf):
 def m21(spark, sf):
     d = dense(spark, sf)
     folds = fc.last_day_fold(lengths(d, KEYS, "pos"), KEYS, HORIZON)
-    both = fc.compare_models(d, folds, {"naive": _naive, "median": _median})
+    both = durable(fc.compare_models(d, folds, {"naive": _naive, "median": _median}))
     return round_metrics(leaderboard(evaluate(both, [*KEYS, "model"]), KEYS))
 
 
@@ -322,9 +322,9 @@ def m21b(spark, sf):
         "holt_winters": lambda a: fc.holt_winters(
             a, KEYS, "pos", "value", DAY, smoothing
         ),
-        "arma": lambda a: fc.seasonal_arma(durable(a), KEYS, "pos", "value", DAY),
+        "arma": lambda a: fc.seasonal_arma(a, KEYS, "pos", "value", DAY),
         "additive": lambda a: additive_forecast(
-            durable(a), KEYS, "pos", "ts", "value", [ADDITIVE], TERMS
+            a, KEYS, "pos", "ts", "value", [ADDITIVE], TERMS
         ),
     }
     every = durable(fc.compare_models(d, folds, models))

@@ -9,7 +9,12 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import calendar
 from tidemark.operators.clean import interpolate, onto_grid, resample
-from tidemark.operators.forecast import last_day_fold, median_forecast, seasonal_naive
+from tidemark.operators.forecast import (
+    compare_models,
+    last_day_fold,
+    median_forecast,
+    seasonal_naive,
+)
 from tidemark.operators.reshape import assign_folds
 from tidemark.operators.splits import lengths
 from tidemark.plans.lookup import attach_agg
@@ -45,6 +50,15 @@ def rs(expr: str, digits: int = 6) -> str:
     return f"(round({expr}, {digits}) + 0.0)"
 
 
+def rf(c: Column | str) -> Column:
+    """Single precision, for means whose decimals would often end in an exact half."""
+    return (F.col(c) if isinstance(c, str) else c).cast("float").cast("double")
+
+
+def rfs(expr: str) -> str:
+    return f"CAST(CAST({expr} AS FLOAT) AS DOUBLE)"
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{sf}/{name}.parquet")
@@ -103,23 +117,33 @@ def last_day(spark: SparkSession, sf: str) -> DataFrame:
     return assign_folds(d, last_day_fold(lengths(d, KEYS, "pos"), KEYS, HORIZON), KEYS, "pos")
 
 
+def _day_forecast(spark: SparkSession, sf: str, models) -> DataFrame:
+    d = dense(spark, sf)
+    folds = last_day_fold(lengths(d, KEYS, "pos"), KEYS, HORIZON)
+    every = compare_models(d, folds, models)
+    return every.join(d.select("series_id", "pos", "ts"), ["series_id", "pos"]).select(
+        "model", "series_id", "ts", "y_true", "y_pred"
+    )
+
+
+MODELS = {
+    "naive": lambda a: seasonal_naive(a, KEYS, "pos", "value", DAY),
+    "median": lambda a: median_forecast(a, KEYS, "pos", "value"),
+}
+
+
 def naive_forecast(spark: SparkSession, sf: str) -> DataFrame:
     """``series_id, ts, y_true, y_pred`` of the seasonal-naive forecast of the last day."""
-    a = last_day(spark, sf)
-    actual = a.filter("part = 'test'").select(
-        "series_id", "ts", "pos", F.col("value").alias("y_true")
-    )
-    pred = seasonal_naive(a, KEYS, "pos", "value", DAY).drop("fold")
-    return actual.join(pred, ["series_id", "pos"]).select("series_id", "ts", "y_true", "y_pred")
+    return _day_forecast(spark, sf, {"naive": MODELS["naive"]}).drop("model")
 
 
 def median_day(spark: SparkSession, sf: str) -> DataFrame:
-    a = last_day(spark, sf)
-    actual = a.filter("part = 'test'").select(
-        "series_id", "ts", "pos", F.col("value").alias("y_true")
-    )
-    pred = median_forecast(a, KEYS, "pos", "value").drop("fold")
-    return actual.join(pred, ["series_id", "pos"]).select("series_id", "ts", "y_true", "y_pred")
+    return _day_forecast(spark, sf, {"median": MODELS["median"]}).drop("model")
+
+
+def both_models(spark: SparkSession, sf: str) -> DataFrame:
+    """The last day's forecasts of both baselines with a ``model`` column."""
+    return _day_forecast(spark, sf, MODELS)
 
 
 def gapped_ctes(step: int, suffix: str = "") -> str:

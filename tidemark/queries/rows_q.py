@@ -16,7 +16,9 @@ from tidemark.operators.metrics import best_config, evaluate, leaderboard, metri
 from tidemark.operators.splits import lengths, weekly_folds
 from tidemark.plans.lookup import attach
 from tidemark.plans.order import quantiles
+from tidemark.session import durable
 from tidemark.queries.registry import (
+    both_models,
     DAY,
     HORIZON,
     HOUR,
@@ -279,9 +281,8 @@ def r01(spark, sf):
 
 
 def _scores(spark, sf):
-    both = naive_forecast(spark, sf).withColumn("model", F.lit("naive"))
-    both = both.unionByName(median_day(spark, sf).withColumn("model", F.lit("median")))
-    return evaluate(both, ["model"])
+    both = both_models(spark, sf)
+    return evaluate(durable(both), ["model"])
 
 
 SCORE_CTES = f"""
@@ -642,8 +643,7 @@ def u01(spark, sf):
     ),
 )
 def u02(spark, sf):
-    both = naive_forecast(spark, sf).withColumn("model", F.lit("naive"))
-    both = both.unionByName(median_day(spark, sf).withColumn("model", F.lit("median")))
+    both = both_models(spark, sf)
     return both.select(
         "model", "series_id", "ts", rd("y_true").alias("y_true"), rd("y_pred").alias("y_pred")
     )

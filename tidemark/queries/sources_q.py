@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.queries.registry import (
+    both_models,
     TYPES,
     daily_orders,
     events,
     hourly,
-    median_day,
-    naive_forecast,
     query,
     rd,
     rs,
@@ -165,8 +164,7 @@ def s09(spark, sf):
     ),
 )
 def s10(spark, sf):
-    both = naive_forecast(spark, sf).withColumn("model", F.lit("naive"))
-    both = both.unionByName(median_day(spark, sf).withColumn("model", F.lit("median")))
+    both = both_models(spark, sf)
     path = tables.save_forecasts(both, new_path(spark, "forecasts"))
     return spark.read.parquet(path).select("model", "series_id", "ts", rd("y_pred").alias("y_pred"))
 

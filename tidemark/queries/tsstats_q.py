@@ -15,6 +15,8 @@ from tidemark.queries.registry import (
     events,
     query,
     rd,
+    rf,
+    rfs,
     rs,
     sql,
 )
@@ -32,13 +34,13 @@ PARTS = ["trend", "seasonal", "resid"]
 @query(
     "t01_decompose_additive",
     sql(
-        f"SELECT series_id, pos, {', '.join(f'{rs(c, 7)} AS {c}' for c in PARTS)} FROM decomp",
+        f"SELECT series_id, pos, {', '.join(f'{rfs(c)} AS {c}' for c in PARTS)} FROM decomp",
         DECOMP_CTES.strip(),
     ),
 )
 def t01(spark, sf):
     out = tsstats.decompose(dense(spark, sf), KEYS, "pos", "value", DAY)
-    return out.select("series_id", "pos", *[rd(c, 7).alias(c) for c in PARTS])
+    return out.select("series_id", "pos", *[rf(c).alias(c) for c in PARTS])
 
 
 MULT_CTES = f"""
@@ -59,13 +61,13 @@ m_decomp AS (
 @query(
     "t01_decompose_multiplicative",
     sql(
-        f"SELECT series_id, pos, {', '.join(f'{rs(c, 7)} AS {c}' for c in PARTS)} FROM m_decomp",
+        f"SELECT series_id, pos, {', '.join(f'{rfs(c)} AS {c}' for c in PARTS)} FROM m_decomp",
         MULT_CTES.strip(),
     ),
 )
 def t01b(spark, sf):
     out = tsstats.decompose(_shifted(spark, sf), KEYS, "pos", "value", DAY, "multiplicative")
-    return out.select("series_id", "pos", *[rd(c, 7).alias(c) for c in PARTS])
+    return out.select("series_id", "pos", *[rf(c).alias(c) for c in PARTS])
 
 
 NLAGS = 48
