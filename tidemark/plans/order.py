@@ -133,12 +133,13 @@ def positions(
         df.groupBy(*keys, first).agg(F.count(F.lit(1)).alias("_w")), keys, first, limit=limit
     ).select(*keys, first, F.col("_before").alias(f"_start_{first}"))
     rows = attach(df, starts, [*keys, first], rest or [first])
+    tie = f"_tie_{len(order)}"
     if rest:
-        rows = positions(rows, [*keys, first], rest, "_tie", limit)
+        rows = positions(rows, [*keys, first], rest, tie, limit)
     else:
-        rows = rows.withColumn("_tie", F.lit(0))
-    return rows.withColumn(out, (F.col(f"_start_{first}") + F.col("_tie")).cast("bigint")).drop(
-        f"_start_{first}", "_tie"
+        rows = rows.withColumn(tie, F.lit(0))
+    return rows.withColumn(out, (F.col(f"_start_{first}") + F.col(tie)).cast("bigint")).drop(
+        f"_start_{first}", tie
     )
 
 
