@@ -62,7 +62,7 @@ def lag_products(
     nlags: int,
     chunk: int = CHUNK,
 ) -> DataFrame:
-    """``(keys, lag, s, n)``: sums of products of centred values ``lag`` apart, and series length.
+    """``(keys, lag, _s, n)``: sums of products of centred values ``lag`` apart, and series length.
 
     Each chunk with a halo of ``nlags`` earlier rows gives its share of every lag as vector
     products; memory is one chunk and the shuffle carries each row about once, not once per lag.
@@ -86,18 +86,18 @@ def lag_products(
         s = np.zeros(nlags + 1)
         for k in range(min(nlags, len(x) - 1) + 1):
             s[k] = mine[k:] @ x[: len(x) - k]
-        out = pd.DataFrame({"lag": np.arange(nlags + 1, dtype="int32"), "s": s})
+        out = pd.DataFrame({"lag": np.arange(nlags + 1, dtype="int32"), "_s": s})
         for k in keys:
             out[k] = part[k].iloc[0]
         out["n"] = int(part["_n"].iloc[0])
-        return out[[*keys, "lag", "s", "n"]]
+        return out[[*keys, "lag", "_s", "n"]]
 
-    schema = f"{key_ddl(df, keys)}, lag int, s double, n bigint"
+    schema = f"{key_ddl(df, keys)}, lag int, _s double, n bigint"
     return (
         wide.groupBy(*keys, "_chunk")
         .applyInPandas(products, schema)
         .groupBy(*keys, "lag")
-        .agg(F.sum("s").alias("s"), F.max("n").alias("n"))
+        .agg(F.sum("_s").alias("_s"), F.max("n").alias("n"))
         .filter(F.col("lag") < F.col("n"))
     )
 
@@ -108,8 +108,8 @@ def acf(
     """Autocorrelations with the 95 % Bartlett band."""
     sums = lag_products(df, keys, pos, value, nlags, chunk)
     by = Window.partitionBy(*keys)  # nlags + 1 rows per series from here on
-    zero = F.max(F.when(F.col("lag") == 0, F.col("s"))).over(by)
-    r = sums.withColumn("acf", F.try_divide(F.col("s"), zero))
+    zero = F.max(F.when(F.col("lag") == 0, F.col("_s"))).over(by)
+    r = sums.withColumn("acf", F.try_divide(F.col("_s"), zero))
     earlier = by.orderBy("lag").rowsBetween(Window.unboundedPreceding, -1)
     past = F.sum(F.when(F.col("lag") > 0, F.col("acf") * F.col("acf")).otherwise(0.0)).over(earlier)
     var = F.when(F.col("lag") == 0, 0.0).otherwise((1 + 2 * F.coalesce(past, F.lit(0.0))) / F.col("n"))
@@ -148,7 +148,7 @@ def pacf(
     def finish(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("lag")
         lags, n = part["lag"].to_numpy(), float(part["n"].iloc[0])
-        r = part["s"].to_numpy() / ((n - lags) if adjusted else n)
+        r = part["_s"].to_numpy() / ((n - lags) if adjusted else n)
         out = part[[*keys, "lag"]].copy()
         out["pacf"] = _levinson(r)
         out["band"] = Z95 / math.sqrt(n)
@@ -169,7 +169,7 @@ def decay_ratios(
     dense = positions(swept, by, ["slot"], "pos")
     sums = lag_products(dense, by, "pos", value, 2)
     wide = sums.groupBy(*by).agg(
-        *[F.max(F.when(F.col("lag") == k, F.col("s"))).alias(f"_s{k}") for k in (0, 1, 2)],
+        *[F.max(F.when(F.col("lag") == k, F.col("_s"))).alias(f"_s{k}") for k in (0, 1, 2)],
         F.max("n").alias("n"),
     )
     n = F.col("n").cast("double")
@@ -185,10 +185,6 @@ def decay_ratios(
     ).withColumn("best_rank", rank)
 
 
-def max_adf_lag(n: int) -> int:
-    return max(0, min(n // 2 - 2, math.ceil(12.0 * (n / 100.0) ** 0.25)))
-
-
 def _adf_finish(g: np.ndarray, head: np.ndarray, n: int, top: int, p: int):
     """Lag choice by AIC on the common sample, then the statistic on all rows the lag allows.
 

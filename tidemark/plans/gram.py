@@ -19,10 +19,10 @@ def key_ddl(df: DataFrame, keys: Sequence[str]) -> str:
 
 
 def gram(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Upper triangle ``(keys, i, j, s)`` of X'X over the rows with no null in ``columns``."""
+    """Upper triangle ``(keys, _i, _j, _s)`` of X'X over the rows with no null in ``columns``."""
     keys, columns = list(keys), list(columns)
     upper_i, upper_j = np.triu_indices(len(columns))
-    schema = f"{key_ddl(df, keys)}, i int, j int, s double"
+    schema = f"{key_ddl(df, keys)}, _i int, _j int, _s double"
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -34,24 +34,24 @@ def gram(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFram
                 cross = x.T @ x
                 out = pd.DataFrame(
                     {
-                        "i": upper_i.astype("int32"),
-                        "j": upper_j.astype("int32"),
-                        "s": cross[upper_i, upper_j],
+                        "_i": upper_i.astype("int32"),
+                        "_j": upper_j.astype("int32"),
+                        "_s": cross[upper_i, upper_j],
                     }
                 )
                 for name, k in zip(keys, key, strict=True):
                     out.insert(0, name, k)
-                yield out[[*keys, "i", "j", "s"]]
+                yield out[[*keys, "_i", "_j", "_s"]]
 
     rows = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns])
-    return rows.mapInPandas(partial, schema).groupBy(*keys, "i", "j").agg(F.sum("s").alias("s"))
+    return rows.mapInPandas(partial, schema).groupBy(*keys, "_i", "_j").agg(F.sum("_s").alias("_s"))
 
 
 def packed(grams: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row per group with its triangle as an array of p*(p+1)/2 numbers in (i, j) order."""
-    entry = F.struct("i", "j", "s")
+    entry = F.struct("_i", "_j", "_s")
     return grams.groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["s"]).alias("gram")
+        F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["_s"]).alias("gram")
     )
 
 
