@@ -15,6 +15,7 @@ from tidemark.operators.metrics import evaluate
 from tidemark.plans.gram import gram, key_ddl, matrix, packed, solve
 from tidemark.plans.lookup import attach
 from tidemark.plans.order import quantiles
+from tidemark.session import durable
 
 # The search grid of the additive model.
 ADDITIVE_GRID = {
@@ -134,7 +135,7 @@ def additive_grid_search(
     actual = assigned.filter(F.col("part") == "test").select(
         *by, pos, F.col(value).alias("y_true")
     )
-    scored = evaluate(forecast.join(actual, [*by, pos]), [*by, "config_id"])
+    scored = evaluate(durable(forecast.join(actual, [*by, pos])), [*by, "config_id"])
     return (
         scored.groupBy(*keys, "config_id")
         .agg(F.avg("rmse").alias("mean_rmse"), F.count("rmse").alias("n_folds"))

@@ -15,6 +15,7 @@ from tidemark.functions.histogram import HISTOGRAM_PREFIX, bin_label, bin_labels
 from tidemark.operators.features import time_since_previous
 from tidemark.plans.lookup import attach
 from tidemark.plans.order import quantiles, value_counts
+from tidemark.session import durable
 
 # Sampling steps of the resample sweep, in seconds.
 SWEEP_SECONDS = [300, 600, 900, 1200, 1800, 3600]
@@ -125,12 +126,13 @@ def equal_width_histogram(
     ``bins="auto"`` takes the larger of the Sturges and Freedman-Diaconis bin counts per series.
     """
     keys = list(keys)
-    known = df.filter(F.col(value).isNotNull()).select(*keys, value)
-    stats = known.groupBy(*keys).agg(
-        F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(value).alias("_n")
+    # equal values are counted first, so a value that fills a third of the rows is one row here
+    counted = durable(value_counts(df, keys, value))
+    stats = counted.groupBy(*keys).agg(
+        F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.sum("_w").alias("_n")
     )
     if bins == "auto":
-        q = quantiles(known, keys, value, {"_q1": 0.25, "_q3": 0.75})
+        q = quantiles(df, keys, value, {"_q1": 0.25, "_q3": 0.75})
         stats = stats.join(q, keys)
         span = F.col("_hi") - F.col("_lo")
         sturges = span / (F.log2(F.col("_n").cast("double")) + 1)
@@ -144,8 +146,7 @@ def equal_width_histogram(
     raw_bin = F.coalesce(
         F.floor(F.try_divide(F.col(value) - F.col("_lo"), F.col("_width"))), F.lit(0)
     )
-    # equal values are counted first, so a value that fills a third of the rows is one row here
-    placed = attach(value_counts(known, keys, value), stats, keys, [value]).withColumn(
+    placed = attach(counted, stats, keys, [value]).withColumn(
         "bin", F.least(raw_bin, F.col("_k") - 1).cast("int")
     )
     counts = placed.groupBy(*keys, "bin").agg(F.sum("_w").alias("n"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from itertools import combinations
 
@@ -13,8 +14,10 @@ from pyspark.sql import types as T
 from tidemark.functions.columns import require_columns, with_prefix
 from tidemark.functions.special import correlation_p
 from tidemark.functions.text import pretty_label
+from tidemark.plans import order
 from tidemark.plans.lookup import attach
 from tidemark.plans.order import average_ranks, value_counts
+from tidemark.session import durable
 
 
 def _both_ways(upper: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -62,8 +65,9 @@ def rank_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     that fills a third of the rows neither sorts nor joins in one task.
     """
     out = df
+    bound = math.inf if df.count() <= order.HOT_ROWS else None  # one check for all columns
     for c in columns:
-        ranks = average_ranks(value_counts(df, [], c), [], c, f"_rank_{c}").drop("_w")
+        ranks = average_ranks(value_counts(df, [], c), [], c, f"_rank_{c}", bound).drop("_w")
         others = [o for o in columns if o != c] or [c]
         out = attach(out, ranks, [c], others)
     return out.select(
@@ -92,6 +96,7 @@ def _pairwise_spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         .groupBy("x", "y", "vx", "vy")
         .agg(F.count(F.lit(1)).alias("_c"))
     )
+    cells = durable(cells)
     pair = ["x", "y"]
     for v, other in (("vx", "vy"), ("vy", "vx")):
         counts = cells.groupBy(*pair, v).agg(F.sum("_c").alias("_w"))
@@ -140,7 +145,7 @@ def spearman_matrix(
     """Spearman correlations: ``pairwise`` keeps each pair's complete rows, ``listwise`` only rows
     complete in every column. Without gaps both agree and ranks are shared by all pairs."""
     require_columns(df, columns)
-    df = df.select(*columns)
+    df = durable(df.select(*columns))  # read once per column below
     if complete == "listwise":
         return pearson_matrix(rank_columns(df.na.drop("any"), columns), columns)
     if complete != "pairwise":

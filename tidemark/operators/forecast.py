@@ -333,6 +333,7 @@ def seasonal_arma(
     for i, c in enumerate(x1):
         guess = guess + F.col("_coef")[i] * F.col(c)
     shocks = attach(wide, first, by, [pos]).withColumn("_e", F.col("_z") - guess).drop("_coef")
+    shocks = durable(shocks)
     second = over_halo(
         shocks.select(*by, pos, "_one", "_z", *[f"_z{k}" for k in lags], "_e"),
         by,
@@ -423,7 +424,9 @@ def score_folds(
     """Six metrics per (series, fold[, configuration])."""
     by = [*keys, "fold"]
     actual = _test_rows(assigned).select(*by, pos, F.col(value).alias("y_true"))
-    return evaluate(forecast.join(actual, [*by, pos], "inner"), [*by, *extra])
+    # written once: scoring needs the group means first, and models must not run twice for that
+    joined = durable(forecast.join(actual, [*by, pos], "inner"))
+    return evaluate(joined, [*by, *extra])
 
 
 def backtest(

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.metrics import best_config, evaluate
+from tidemark.session import durable
 
 # The search grid. Keys MLlib has no counterpart for are accepted and unused.
 TREE_GRID = {
@@ -111,7 +112,7 @@ def tree_random_search(
     if result is None:
         raise RuntimeError("no configuration could be fitted")
     scored = evaluate(
-        result.join(actual, [*keys, "fold", pos]), ["config_id", "fold"]
+        durable(result.join(actual, [*keys, "fold", pos])), ["config_id", "fold"]
     )
     scores = scored.groupBy("config_id").agg(
         F.avg("custom_loss").alias("avg_custom_score"), F.count("custom_loss").alias("n_folds")

@@ -18,6 +18,7 @@ from tidemark.plans.chunks import CHUNK, over_halo, with_halo
 from tidemark.plans.gram import gram, key_ddl, matrix, packed, solve
 from tidemark.plans.lookup import attach, attach_agg
 from tidemark.plans.order import positions, quantiles, running_counts, value_counts
+from tidemark.session import durable
 
 Z95 = 1.959963984540054
 
@@ -164,7 +165,7 @@ def decay_ratios(
 ) -> DataFrame:
     """|pacf1| / |pacf2| per sampling step (empty bins skipped), best step first per series."""
     keys = list(keys)
-    swept = resample_sweep(df, keys, ts, value, *([steps] if steps else []))
+    swept = durable(resample_sweep(df, keys, ts, value, *([steps] if steps else [])))
     by = [*keys, "step"]
     dense = positions(swept, by, ["slot"], "pos")
     sums = lag_products(dense, by, "pos", value, 2)
@@ -436,7 +437,7 @@ def exponential_ks(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Exponential rate by maximum likelihood and the one-sample Kolmogorov-Smirnov distance,
     from counts of distinct values."""
     keys = list(keys)
-    counts = value_counts(df, keys, value)
+    counts = durable(value_counts(df, keys, value))
     totals = counts.groupBy(*keys).agg(
         F.sum("_w").alias("n"),
         (F.sum("_w") / F.sum(F.col(value) * F.col("_w"))).alias("rate"),

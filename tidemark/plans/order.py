@@ -9,6 +9,7 @@ count. Bucket bounds steer the work split, never the result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -23,8 +24,12 @@ MAX_BUCKETS = 4096
 _BLOCK = 64
 
 
-def hot_groups(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame | None:
-    """Groups with more than ``limit`` rows as a durable table, or None when there is none."""
+def hot_groups(df: DataFrame, keys: Sequence[str], limit: float) -> DataFrame | None:
+    """Groups with more than ``limit`` rows as a durable table, or None when there is none.
+
+    A caller that already knows an upper bound passes an infinite limit and saves the pass."""
+    if limit == math.inf:
+        return None
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     hot = sizes.filter(F.col("_n") > limit)
     if hot.isEmpty():
@@ -75,7 +80,7 @@ def running_counts(
     keys: Sequence[str],
     value: str,
     weight: str = "_w",
-    limit: int | None = None,
+    limit: float | None = None,
 ) -> DataFrame:
     """Per distinct value add ``_before``: total weight of smaller values of the same group.
 
@@ -120,7 +125,7 @@ def positions(
     keys: Sequence[str],
     order: Sequence[str],
     out: str = "pos",
-    limit: int | None = None,
+    limit: float | None = None,
 ) -> DataFrame:
     """0-based row position of each row inside its group, ordered by ``order`` (unique per row)."""
     keys, order = list(keys), list(order)
@@ -156,7 +161,7 @@ def over_rows(df, keys, order, make, before=0, after=0, limit=None):
 
 
 def average_ranks(
-    counts: DataFrame, keys: Sequence[str], value: str, out: str = "rank", limit: int | None = None
+    counts: DataFrame, keys: Sequence[str], value: str, out: str = "rank", limit: float | None = None
 ) -> DataFrame:
     """Average rank (1-based, ties share their mean rank) of each distinct value."""
     ranked = running_counts(counts, keys, value, limit=limit)
@@ -168,7 +173,7 @@ def quantiles(
     keys: Sequence[str],
     value: str,
     qs: dict[str, float],
-    limit: int | None = None,
+    limit: float | None = None,
 ) -> DataFrame:
     """Exact linear-interpolated quantiles; one column per entry of ``qs``."""
     keys = list(keys)
