@@ -98,25 +98,28 @@ def resample(
 def regular_grid(binned: DataFrame, keys: Sequence[str], chunk: int = CHUNK) -> DataFrame:
     """Every (series, slot) between the first and the last slot of the whole frame.
 
-    The grid is unfolded in two steps, chunks then slots, so that a single long series is
-    generated by many tasks and never held as one array.
+    A long grid is unfolded in two steps, chunks then slots, so that a single long series is
+    generated by many tasks and never held as one array. ``binned`` is read for its two end slots
+    first; pass a written table.
     """
-    span = binned.agg(F.min("slot").alias("lo"), F.max("slot").alias("hi"))
+    lo, hi = binned.agg(F.min("slot"), F.max("slot")).first()
     series = binned.select(*keys).distinct()
-    spanned = attach(series, span, [], keys)
-    parts = spanned.withColumn(
-        "_part",
-        F.explode(
-            F.sequence(F.floor(F.col("lo") / chunk), F.floor(F.col("hi") / chunk))
-        ),
-    ).repartition(*keys, "_part")
-    first = F.greatest(F.col("lo"), F.col("_part") * chunk)
-    last = F.least(F.col("hi"), F.col("_part") * chunk + F.lit(chunk - 1))
-    return parts.select(
-        *keys,
-        F.explode(F.sequence(first, last)).alias("slot"),
-        "lo",
-    ).select(*keys, "slot", (F.col("slot") - F.col("lo")).cast("bigint").alias("pos"))
+    if lo is None:
+        return series.select(
+            *keys, F.lit(0).cast("bigint").alias("slot"), F.lit(0).cast("bigint").alias("pos")
+        )
+    first_part, last_part = lo // chunk, hi // chunk
+    if first_part == last_part:
+        slots = F.sequence(F.lit(lo).cast("bigint"), F.lit(hi).cast("bigint"))
+        unfolded = series.select(*keys, F.explode(slots).alias("slot"))
+    else:
+        parts = F.sequence(F.lit(first_part).cast("bigint"), F.lit(last_part).cast("bigint"))
+        spread = series.withColumn("_part", F.explode(parts)).repartition(*keys, "_part")
+        begin = F.greatest(F.lit(lo).cast("bigint"), F.col("_part") * chunk)
+        end = F.least(F.lit(hi).cast("bigint"), F.col("_part") * chunk + F.lit(chunk - 1))
+        unfolded = spread.select(*keys, F.explode(F.sequence(begin, end)).alias("slot"))
+    slot = F.col("slot").cast("bigint")
+    return unfolded.select(*keys, slot.alias("slot"), (slot - F.lit(lo)).cast("bigint").alias("pos"))
 
 
 def onto_grid(
