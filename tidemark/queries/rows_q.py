@@ -230,11 +230,11 @@ def p14(spark, sf):
 
 @query(
     "p15_unit_scale",
-    "SELECT o_orderkey, round(o_totalprice * 100000000, 0) AS satoshi FROM orders",
+    "SELECT o_orderkey, round(o_totalprice * 100000000, 0) AS total_scaled FROM orders",
 )
 def p15(spark, sf):
     return table(spark, sf, "orders").select(
-        "o_orderkey", F.round(F.col("o_totalprice") * F.lit(100_000_000), 0).alias("satoshi")
+        "o_orderkey", F.round(F.col("o_totalprice") * F.lit(100_000_000), 0).alias("total_scaled")
     )
 
 
