@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import packing, token_store
+from tidemark.llm import line_dedup, packing, token_store, toxicity
 from tidemark.llm.vocab import vocabulary
 from tidemark.session import new_path
 
@@ -29,6 +29,30 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+_LINES = """
+WITH lines AS (
+  SELECT doc_id, line, pos,
+    translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos
+        FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents))),
+firsts AS (
+  SELECT key, min(doc_id) AS first_doc FROM lines WHERE length(key) >= 10 GROUP BY key
+  HAVING min(doc_id) < max(doc_id)),
+marked AS (
+  SELECT l.*, f.first_doc IS NOT NULL AND f.first_doc <> l.doc_id AS gone
+  FROM lines l LEFT JOIN firsts f ON f.key = l.key)
+SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) AS BIGINT) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id"""
+
+
+@_query("op5_line_dedup", _LINES)
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    deduped = line_dedup.dedup_lines(_table(spark, sf, "documents").select("doc_id", "text"))
+    return deduped.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @_query("op8_pack_documents")
 def op8(spark: SparkSession, sf: str) -> DataFrame:
     docs = _table(spark, sf, "documents")
@@ -41,3 +65,22 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
     target = new_path(spark, "tokens")
     token_store.write_tokens(_table(spark, sf, "documents"), target, vocabulary("word_bpe_49k.json"), 2)
     return token_store.with_crc32(token_store.read_tokens(spark, target))
+
+
+def _fold(n: int):
+    """Remainder that decides whether a labelled row may be learned from."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+@_query("op10_toxicity")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, _table(spark, sf, "labels"), _fold(3) != 1)
+    scored = toxicity.score_toxicity(docs, model)
+    return scored.select(
+        "doc_id",
+        (_fold(3) == 1).alias("held_out"),
+        F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= 0.7).cast("int").alias("predicted"),
+        "passages",
+    )
