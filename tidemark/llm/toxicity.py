@@ -1,8 +1,8 @@
 """Toxic passages as maximal-scoring segments of word log-odds.
 
-Fitting: word counts of toxic and clean labelled texts give log-odds with an informative Dirichlet prior
-(the pooled counts); a word scores its log-odds less two standard errors when that is positive, else a
-negative drift, so a random clean text drifts downwards. Scanning: one linear pass finds every maximal
+Fitting: numbers of toxic and clean labelled texts that hold a word give its log-odds with an informative
+Dirichlet prior (the pooled counts). A word that leans to toxic texts by a likelihood-ratio test scores its
+log-odds less a standard error, any other word a negative drift, so a random clean text drifts downwards. Scanning: one linear pass finds every maximal
 segment (no longer or shorter span in it scores higher). A segment of score S in a text of n words is as
 good as chance K n exp(-lambda S) times, the extreme-value law of such segments; lambda solves
 E[exp(lambda s)] = 1 on clean words and K is its maximum-likelihood value on clean texts. A text's evidence is
@@ -27,10 +27,12 @@ from tidemark.session import durable
 
 #: Labelled rows the model is fitted on at most (those with the smallest hash of doc_id).
 SAMPLE_ROWS = 12_000
-#: Words with a score of their own at most (the largest z values); all others drift.
+#: Words with a score of their own at most (those with the largest likelihood ratio); all others drift.
 MODEL_WORDS = 50_000
-#: Weight of the pooled counts as prior, in words; score of a word without evidence; significance.
-PRIOR_WORDS = 500.0
+#: Weight of the pooled counts as prior, in words; least likelihood ratio of a scoring word; score of all
+#: other words; expected chance segments up to which a segment counts.
+PRIOR_WORDS = 20_000.0
+MIN_RATIO = 12.0
 DRIFT = -0.5
 MAX_CHANCE = 0.05
 WORD = re.compile(r"[^\W_]+")
@@ -138,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, in_training: Column, rows: int = SAM
         for batch in batches:
             seen: dict[str, list[int]] = {}
             for text, y in zip(batch["text"], batch["y"]):
-                for w in words_of(text):
+                for w in set(words_of(text)):
                     seen.setdefault(w, [0, 0])[y] += 1
             pairs = list(seen.values())
             yield pd.DataFrame(
@@ -153,15 +155,20 @@ def fit(docs: DataFrame, labels: DataFrame, in_training: Column, rows: int = SAM
     if not n_c or not n_t:
         share = 1.0 if n_t else 0.0
         return Model({}, 1.0, 1.0, 0.0, 10.0 * (2 * share - 1))
-    prior = F.lit(PRIOR_WORDS / (n_c + n_t)) * (F.col("c") + F.col("t"))
+    c, t, both = F.col("c"), F.col("t"), F.col("c") + F.col("t")
+    prior = both * (PRIOR_WORDS / (n_c + n_t))
+    expected = both * (n_t / (n_c + n_t))
 
     def log_odds(k, n):
-        return F.log((F.col(k) + prior) / (F.lit(n + PRIOR_WORDS) - F.col(k) - prior))
+        return F.log((k + prior) / (n + PRIOR_WORDS - k - prior))
 
-    spread = F.sqrt(1 / (F.col("t") + prior) + 1 / (F.col("c") + prior))
-    delta = log_odds("t", n_t) - log_odds("c", n_c)
-    scored = pairs.select("word", "c", (delta - 2 * spread).alias("low"), (delta / spread).alias("z"))
-    top = scored.filter(F.col("low") > 0).orderBy(F.desc("z"), "word").limit(MODEL_WORDS).collect()
+    # likelihood ratio of the word's split over the classes against that of all words
+    ratio = 2 * (t * F.log(t / expected) + F.when(c > 0, c * F.log(c / (both - expected))).otherwise(0.0))
+    scored = pairs.filter((t > 0) & (t > expected)).select(
+        "word", "c", ratio.alias("ratio"), (log_odds(t, n_t) - log_odds(c, n_c) - 1 / F.sqrt(t + prior)).alias("low")
+    )
+    top = scored.filter((F.col("ratio") >= MIN_RATIO) & (F.col("low") > 0))
+    top = top.orderBy(F.desc("ratio"), "word").limit(MODEL_WORDS).collect()
     scores = {r.word: float(r.low) for r in top}
     if not scores:
         return Model({}, 1.0, 1.0, 0.0, math.log(max(n_t, 1) / max(n_c, 1)))
