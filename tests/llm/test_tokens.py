@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tidemark.llm import packing, token_store
+from tidemark.llm import packing, token_counts, token_store
 from tidemark.llm.vocab import encoder, vocabulary
 
 BYTES, WORDS = vocabulary("byte_bpe_50k.json"), vocabulary("word_bpe_49k.json")
@@ -126,3 +126,13 @@ def test_empty_token_store(spark, tmp_path):
     target = str(tmp_path / "none")
     token_store.write_tokens(docs(spark, []), target, WORDS, 2)
     assert not token_store.read_tokens(spark, target).collect()
+
+
+@pytest.mark.parametrize("chars", [40, 16_000_000])
+def test_token_counts(spark, chars):
+    rows = ROWS + [(20 + i, t) for i, t in enumerate(ODD)] + [(90, "the " * 1000 + "end")]
+    out = token_counts.count_tokens(docs(spark, rows), BYTES, chars).collect()
+    want = [(d, len((t or "").encode()), len(ids(BYTES, t))) for d, t in rows]
+    key = lambda r: (r[0] is None, r)
+    assert sorted(map(tuple, out), key=key) == sorted(want, key=key)
+    assert not token_counts.count_tokens(docs(spark, []), BYTES).collect()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import line_dedup, packing, token_store, toxicity
+from tidemark.llm import line_dedup, packing, token_counts, token_store, toxicity
 from tidemark.llm.vocab import vocabulary
 from tidemark.session import new_path
 
@@ -29,6 +29,12 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@_query("op1_token_counts")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    counts = token_counts.count_tokens(_table(spark, sf, "documents"), vocabulary("byte_bpe_50k.json"))
+    return counts.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
 _LINES = """
 WITH lines AS (
   SELECT doc_id, line, pos,

@@ -7,6 +7,7 @@ keeps the answer; the pre-tokens themselves come from one compiled pattern.
 
 from __future__ import annotations
 
+import collections
 import functools
 import json
 import re
@@ -20,7 +21,12 @@ WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[{L}]+|[{N}]|[^{S}{L}{N}]+"
 #: Unicode's white space.
 SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Characters a worker keeps in its cache before it starts over.
-CACHE_CHARS = 6_000_000
+CACHE_CHARS = 20_000_000
+#: Characters past the Latin blocks; outside the basic plane; white space after a space; what Python alone takes for white space.
+BEYOND = re.compile("[\u0370-\U0010ffff]")
+ASTRAL = re.compile("[\U00010000-\U0010ffff]")
+DOUBLE = re.compile(f" (?:[{SPACES}]|$)")
+SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
 @functools.cache
@@ -65,7 +71,42 @@ class Encoder:
             raise ValueError(f"unknown kind of vocabulary: {path}")
         self.special = {x["content"]: np.uint32(x["id"]).tobytes() for x in spec["added_tokens"]}
         self.marks = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
-        self.cache: dict[str, bytes] = {}
+        self.merger, self.ends = self._merger(spec["model"]["vocab"])
+        self.forget()
+
+    def _merger(self, vocab: dict[str, int]):
+        """The same merges for words that each end in a line end, and which ids hold that line end.
+
+        Merge order is id order in both files. The end-of-word mark becomes a line end, which no word of
+        that vocabulary holds.
+        """
+        import tiktoken
+
+        printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        others = [b for b in range(256) if b not in printable]
+        byte_of = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(others)}
+        ranks = {}
+        for token, k in vocab.items():
+            if token not in self.special:
+                end = b"\n" if self.lowers and token.endswith("</w>") else b""
+                ranks[bytes(byte_of[c] for c in (token[:-4] if end else token)) + end] = k
+        spare = iter(range(max(vocab.values()) + 1, 1 << 20))
+        for b in range(256):
+            ranks.setdefault(bytes([b]), next(spare))
+        ends = np.zeros(max(ranks.values()) + 1, bool)
+        if self.lowers:
+            ends[[k for token, k in ranks.items() if token.endswith(b"\n")]] = True
+            split = "[^\n]*\n"
+        else:
+            ends[ranks[b"\n"]] = True
+            split = "[^\n]+|\n"
+        merger = tiktoken.Encoding("words", pat_str=split, mergeable_ranks=ranks, special_tokens={})
+        return merger, ends
+
+    def forget(self) -> None:
+        """Empty the caches: of pre-tokens, and of runs of text between single spaces."""
+        self.words: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {}
         self.held = 0
 
     def _normal(self, text: str) -> str:
@@ -73,69 +114,120 @@ class Encoder:
             return text
         if not text.isascii():
             # lower-casing is by single character there: no special form of a final sigma
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+            text = unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3")
         return text.lower()
 
-    def pre_tokens(self, text: str) -> list[str]:
-        """Pre-tokens of a text that holds no special string."""
-        text = self._normal(text)
+    def _split(self, text: str) -> list[str]:
+        """Pre-tokens of a normalised text without special strings."""
         if text.isascii():
             top = 0x7F
         else:
-            top = 0xFFFF if max(text) <= "\uffff" else 0x10FFFF
+            top = 0x10FFFF if ASTRAL.search(text) else 0xFFFF
         return _pattern(self.template, top).findall(text)
 
-    def pieces(self, text: str | None) -> tuple[list[str], int]:
-        """Pre-tokens of a whole text and its number of special tokens."""
-        if not text:
-            return [], 0
-        if "<|" not in text:
-            return self.pre_tokens(text), 0
-        words, marks = [], 0
-        for k, part in enumerate(self.marks.split(text)):
-            if k % 2:
-                marks += 1
-            elif part:
-                words += self.pre_tokens(part)
-        return words, marks
-
-    def _learn(self, words) -> None:
+    def _cut(self, text: str) -> list[str]:
+        """Parts of a normalised text that can be encoded alone.
+
+        White space ends every pre-token of the vocabulary that drops it. In the other one a pre-token can
+        begin with a space but not go over one, so a text falls apart at each space behind which no more
+        white space follows.
+        """
+        if self.lowers:
+            # Python also splits at these four, which are no white space there
+            return self._split(text) if SEPARATORS.search(text) else text.split()
+        if DOUBLE.search(text):
+            return self._split(text)
+        first, *others = text.split(" ")
+        return [first, *map(" ".__add__, others)]
+
+    def _sections(self, text: str | None):
+        """(special string or None, normalised text) in order."""
+        if text:
+            if "<|" not in text:
+                yield None, self._normal(text)
+            else:
+                for k, part in enumerate(self.marks.split(text)):
+                    if k % 2:
+                        yield part, ""
+                    elif part:
+                        yield None, self._normal(part)
+
+    def tally(self, texts) -> tuple[list[dict[str, int]], list[int]]:
+        """For each text the frequencies of its pre-tokens, and its number of special strings."""
+        counts, marks = [], []
+        for text in texts:
+            runs: collections.Counter = collections.Counter()
+            n = 0
+            for mark, part in self._sections(text):
+                if mark:
+                    n += 1
+                else:
+                    runs.update(self._cut(part))
+            words: dict[str, int] = {}
+            for run, k in runs.items():
+                for w in self._split(run):
+                    words[w] = words.get(w, 0) + k
+            counts.append(words)
+            marks.append(n)
+        return counts, marks
+
+    def distinct(self, texts) -> set[str]:
+        """Distinct pre-tokens of texts, special strings aside."""
+        runs: set[str] = set()
+        for text in texts:
+            for mark, part in self._sections(text):
+                if not mark:
+                    runs.update(self._cut(part))
+        return {w for run in runs for w in self._split(run)}
+
+    def ids_of(self, words: list[str]) -> list[bytes]:
+        """Ids of single pre-tokens, all in one call."""
+        out: list[bytes | None] = [None] * len(words)
+        # a line end closes each word: as the end-of-word mark, or as a token of its own
+        plain = [k for k, w in enumerate(words) if "\n" not in w]
+        joined = "".join([words[k] + "\n" for k in plain])
+        ids = np.array(self.merger.encode_ordinary(joined), np.uint32)
+        cuts = np.flatnonzero(self.ends[ids])
+        starts = np.concatenate([[0], cuts[:-1] + 1])
+        raw = ids.tobytes()
+        for k, a, b in zip(plain, (4 * starts).tolist(), (4 * (cuts + self.lowers)).tolist()):
+            out[k] = raw[a:b]
+        for k, x in enumerate(out):
+            if x is None:
+                ids = self.library.encode(words[k], add_special_tokens=False).ids
+                out[k] = np.array(ids, np.uint32).tobytes()
+        return out
+
+    def _learn(self, runs: list[str]) -> None:
         if self.held > CACHE_CHARS:
-            self.cache.clear()
-            self.held = 0
-        new = [w for w in set(words) if w not in self.cache]
-        for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-            self.cache[w] = np.array(e.ids, np.uint32).tobytes()
-            self.held += len(w)
+            self.forget()
+        new = {r: self._split(r) for r in set(runs) if r not in self.runs}
+        words = list({w for ws in new.values() for w in ws if w not in self.words})
+        if words:
+            self.words.update(zip(words, self.ids_of(words)))
+        for r, ws in new.items():
+            self.runs[r] = self.words[ws[0]] if len(ws) == 1 else b"".join([self.words[w] for w in ws])
+        self.held += sum(map(len, words)) + sum(map(len, new))
 
     def _encode(self, text: str) -> bytes:
-        words = self.pre_tokens(text)
+        runs = self._cut(text)
         try:
-            return b"".join(map(self.cache.__getitem__, words))
+            return b"".join(map(self.runs.__getitem__, runs))
         except KeyError:
-            self._learn(words)
-            return b"".join(map(self.cache.__getitem__, words))
+            self._learn(runs)
+            return b"".join(map(self.runs.__getitem__, runs))
 
     def encode(self, text: str | None) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        if "<|" not in text:
-            return self._encode(text)
-        parts = self.marks.split(text)
-        return b"".join(self.special[p] if k % 2 else self._encode(p) for k, p in enumerate(parts))
-
-    def warm(self, texts) -> None:
-        """Learn the new pre-tokens of a batch in one call of the library."""
-        words: set[str] = set()
-        for t in texts:
-            if t:
-                words.update(self.pieces(t)[0])
-        self._learn(words)
-
-    def counts(self, words: list[str]) -> list[int]:
-        """Number of pieces of each pre-token."""
-        return [len(e.ids) for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+        """Ids as little-endian unsigned 32-bit integers.
+
+        A text with a code point that Python's Unicode tables do not know goes to the library whole, whose
+        tables may be newer.
+        """
+        if text and BEYOND.search(text) and any(unicodedata.category(c) == "Cn" for c in set(text)):
+            ids = self.library.encode(text, add_special_tokens=False).ids
+            return np.array(ids, np.uint32).tobytes()
+        parts = [self.special[mark] if mark else self._encode(part) for mark, part in self._sections(text)]
+        return parts[0] if len(parts) == 1 else b"".join(parts)
 
 
 @functools.cache
