@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import line_dedup, packing, token_counts, token_store, toxicity
+from tidemark.llm import line_dedup, packing, quality, token_counts, token_store, toxicity
 from tidemark.llm.vocab import vocabulary
 from tidemark.session import new_path
 
@@ -78,6 +78,18 @@ def _fold(n: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
 
 
+@_query("op3_quality_cnn")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    model = quality.fit(docs, _table(spark, sf, "labels"), _fold(5) != 0)
+    return quality.score_quality(docs, model).select(
+        "doc_id",
+        (_fold(5) == 0).alias("held_out"),
+        F.col("quality_score").alias("score"),
+        (F.col("quality_score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
 @_query("op10_toxicity")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     docs = _table(spark, sf, "documents").select("doc_id", "text")
