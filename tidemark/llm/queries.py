@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import line_dedup, packing, quality, token_counts, token_store, toxicity
+from tidemark.llm import html_text, line_dedup, packing, quality, token_counts, token_store, toxicity
 from tidemark.llm.vocab import vocabulary
 from tidemark.session import new_path
 
@@ -78,6 +78,12 @@ def _fold(n: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
 
 
+@_query("op2_html_text")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    texts = html_text.extract_text(_table(spark, sf, "pages"))
+    return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 @_query("op3_quality_cnn")
 def op3(spark: SparkSession, sf: str) -> DataFrame:
     docs = _table(spark, sf, "documents").select("doc_id", "text")
