@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import html_text, line_dedup, packing, quality, token_counts, token_store, toxicity
+from tidemark.llm import decontaminate, html_text, line_dedup, packing, quality, token_counts, token_store, toxicity
 from tidemark.llm.vocab import vocabulary
 from tidemark.session import new_path
 
@@ -35,6 +35,12 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+@_query("op4_decontaminate")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    """One row per benchmark passage in a document."""
+    return decontaminate.find_leaks(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
+
+
 _LINES = """
 WITH lines AS (
   SELECT doc_id, line, pos,
