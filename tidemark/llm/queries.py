@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, html_text, line_dedup, packing, quality, token_counts, token_store, toxicity
+from tidemark.llm import decontaminate, html_text, line_dedup, ngram_join, packing, quality, token_counts, token_store, toxicity
 from tidemark.llm.vocab import vocabulary
 from tidemark.session import new_path
 
@@ -65,6 +65,11 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
     return deduped.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@_query("op6_ngram_join")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    return ngram_join.near_duplicates(_table(spark, sf, "documents"))
+
+
 @_query("op8_pack_documents")
 def op8(spark: SparkSession, sf: str) -> DataFrame:
     docs = _table(spark, sf, "documents")

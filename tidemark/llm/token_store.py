@@ -88,14 +88,15 @@ def write_tokens(docs: DataFrame, target: str, path: str, end_id: int) -> None:
 def read_tokens(spark: SparkSession, target: str, condition: Column | None = None) -> DataFrame:
     """Stored documents with ``start``, the number of ids of all documents before each.
 
-    A ``condition`` on doc_id reaches the ORC scan and prunes stripes. The part totals are one row a file.
+    A ``condition`` on doc_id reaches the ORC scan and prunes stripes. The part totals are one row a file, of
+    which there are as many as shuffle partitions, and so are sent to all tasks.
     """
     stored = spark.read.schema(STORED).orc(target)
     totals = stored.groupBy("part").agg(F.max(F.col("part_start") + F.col("n_tokens")).alias("_n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select("part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     picked = stored if condition is None else stored.filter(condition)
-    return picked.join(starts, "part").select(
+    return picked.join(F.broadcast(starts), "part").select(
         "doc_id", (F.col("_before") + F.col("part_start")).alias("start"), "n_tokens", "ids"
     )
 
