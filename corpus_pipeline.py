@@ -1,4 +1,8 @@
-"""Stages that turn documents into packed training sequences."""
+"""Stages that turn documents into packed training sequences.
+
+Each stage takes (spark, docs, sf_dir), works on all its predecessor kept and returns a DataFrame; all but the
+last return the columns of ``docs``. Rows with a null doc_id can be in no list of ids and stay to the end.
+"""
 
 from __future__ import annotations
 
@@ -7,10 +11,43 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import packing
+from tidemark.llm import decontaminate, line_dedup, ngram_join, packing, toxicity
 from tidemark.llm.vocab import vocabulary
 from tidemark.session import durable
 
+#: Probability from which a document is rejected as toxic.
+TOXIC = 0.7
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity is below the bound; the model is learned from labels outside the held-out third."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    train = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1
+    scored = toxicity.score_toxicity(docs, toxicity.fit(docs, labels, train))
+    return scored.filter(F.col("toxicity") < TOXIC).select(docs.columns)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that an earlier one holds; one that loses all of them stays, empty."""
+    deduped = line_dedup.dedup_lines(docs)
+    text = F.when(F.col("n_dropped") > 0, F.col("kept")).otherwise(F.col("text"))
+    return (
+        deduped.withColumn("text", text)
+        .withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long"))
+        .select(docs.columns)
+    )
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of linked ones, and all that link with none."""
+    gone = ngram_join.near_duplicates(docs).filter("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def drop_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark passage."""
+    return decontaminate.drop_leaked(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of all documents that are left."""
@@ -18,16 +55,20 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("line dedup", drop_repeated_lines),
+    ("n-gram Jaccard join", drop_near_duplicates),
+    ("benchmark decontamination", drop_leaked),
     ("packing", pack),
 ]
 
-#: The stages learn models and encode tokens, which SQL cannot express.
+#: The stages learn a model, link documents and encode tokens, which SQL cannot express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents, each written and read again as the next one's input."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
+    for _, stage in STAGES:
         docs = durable(stage(spark, docs, sf_dir))
     return docs

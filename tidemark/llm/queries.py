@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, html_text, line_dedup, ngram_join, packing, quality, token_counts, token_store, toxicity
+from tidemark.llm import cover_tree, decontaminate, html_text, line_dedup, ngram_join, packing, quality, token_counts, token_store, toxicity
 from tidemark.llm.vocab import vocabulary
 from tidemark.session import new_path
 
@@ -70,6 +70,11 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
     return ngram_join.near_duplicates(_table(spark, sf, "documents"))
 
 
+@_query("op7_cover_tree")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    return cover_tree.near_vectors(_table(spark, sf, "embeddings"))
+
+
 @_query("op8_pack_documents")
 def op8(spark: SparkSession, sf: str) -> DataFrame:
     docs = _table(spark, sf, "documents")
