@@ -1,13 +1,14 @@
 """Token counts of documents without their token ids.
 
-A task tallies the pre-tokens of a block of documents and emits one row per distinct pre-token of the block:
-which documents hold it and how often, as two byte arrays. The distinct pre-tokens of all blocks are counted
-once each by the vocabulary. The join of the two gives pieces per (block, pre-token); each task adds these up
-per document before anything moves back to the blocks, where the document ids wait.
-
-A frequent word has one row a block, so no key grows with the corpus faster than its blocks. Blocks are
-made from the rows in scan order: ``docs`` should be a stored table, so that a task that is run again makes
-the same ones.
+A task tallies the pre-tokens of a block of documents. Those that many documents of the block hold are counted
+by the vocabulary right there (a worker asks once and remembers) and go into the documents' sums before anything
+moves. The others travel packed by hash bucket: the pre-tokens of one block and bucket, which of the block's
+documents hold each, and how often. A bucket holds every other occurrence of its pre-tokens, so each distinct
+one is counted once there and joined to its frequencies; a task adds these up per document over all its buckets
+and sends the sums back to the block, where the document ids wait.
+
+So no pre-token, however frequent, fills a bucket: it has a bounded number of entries a block. Blocks are made
+from the rows in scan order: ``docs`` should be a stored table, so that a task that is run again makes the same.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,15 +27,24 @@ from pyspark.sql import functions as F
 from tidemark.llm.vocab import encoder
 
 #: Characters and documents of a block, whichever comes first (positions there are 16 bits).
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 32_000_000
 BLOCK_DOCS = 60_000
+#: Documents of a block up to which a pre-token travels; hash buckets for each shuffle partition.
+FEW = 64
+BUCKETS = 32
 #: Blocks a task sums at once.
 OPEN_BLOCKS = 64
 
-POSTINGS = (
-    "block long, word string, docs binary, freqs binary, "
-    "doc_ids array<long>, n_bytes array<long>, marks array<long>"
+#: ``words``: the pre-tokens, each behind its length in bytes; ``sizes``, ``docs``, ``freqs``: entries of each,
+#: their documents and frequencies; all compressed. ``info`` is set in a block's own row only: ids, whether they
+#: are set, bytes and tokens so far of its documents.
+PACKED = "bucket long, block long, words binary, sizes binary, docs binary, freqs binary, info binary"
+SUMS = "block long, at binary, n binary, info binary"
+PACKED_SCHEMA = pa.schema(
+    [("bucket", pa.int64()), ("block", pa.int64())]
+    + [(c, pa.binary()) for c in ("words", "sizes", "docs", "freqs", "info")]
 )
+SUMS_SCHEMA = pa.schema([("block", pa.int64())] + [(c, pa.binary()) for c in ("at", "n", "info")])
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], chars: int):
@@ -50,142 +62,126 @@ def _blocks(batches: Iterator[pa.RecordBatch], chars: int):
         yield held
 
 
-def _postings(docs: DataFrame, path: str, chars: int) -> DataFrame:
+def _packed(docs: DataFrame, path: str, chars: int, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
+        press = zstandard.ZstdCompressor(level=1).compress
         base = TaskContext.get().partitionId() << 32
         for k, held in enumerate(_blocks(batches, chars)):
             tallies, marks = enc.tally(text for _, text, _ in held)
             codes: dict[str, int] = {}
             code = np.fromiter((codes.setdefault(w, len(codes)) for t in tallies for w in t), np.int32)
             freq = np.fromiter((n for t in tallies for n in t.values()), np.int64)
-            doc = np.repeat(np.arange(len(held), dtype=np.uint16), [len(t) for t in tallies])
+            doc = np.repeat(np.arange(len(held)), [len(t) for t in tallies])
+            del tallies
+            words = list(codes)
+            total = np.array(marks, np.int64)
+            often = np.bincount(code, minlength=len(words)) > FEW
+            if often.any():
+                pieces = np.zeros(len(words), np.int64)
+                at = np.flatnonzero(often)
+                pieces[at] = enc.counts([words[i] for i in at])
+                here = often[code]
+                total += np.bincount(doc[here], pieces[code[here]] * freq[here], len(held)).astype(np.int64)
+                code, freq, doc = code[~here], freq[~here], doc[~here]
+            own = [[r[0] or 0 for r in held], [r[0] is not None for r in held], [r[2] for r in held], total]
+            row = {"bucket": (base + k) % buckets, "block": base + k, "info": np.array(own, np.int64).tobytes()}
+            yield pa.RecordBatch.from_pylist([row], schema=PACKED_SCHEMA)
             # a frequency over 255 takes several entries
             times = (freq + 254) // 255
-            code, doc, left = np.repeat(code, times), np.repeat(doc, times), np.repeat(freq, times)
-            nth = np.arange(len(left)) - np.repeat(np.cumsum(times) - times, times)
-            part = np.minimum(left - 255 * nth, 255).astype(np.uint8)
-            order = np.argsort(code, kind="stable")
-            sizes = np.bincount(code, minlength=len(codes)).cumsum()
-            ends = np.concatenate([[0], sizes])
-            yield from _rows(base + k, list(codes), doc[order], part[order], ends)
-            info = {
-                "block": [base + k],
-                "word": [f"block {base + k}"],  # no pre-token looks like this
-                "docs": [None],
-                "freqs": [None],
-                "doc_ids": [[r[0] for r in held]],
-                "n_bytes": [[r[2] for r in held]],
-                "marks": [marks],
-            }
-            yield pa.RecordBatch.from_pydict(info, schema=_schema())
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, POSTINGS)
-
-
-def _schema() -> pa.Schema:
-    longs = pa.list_(pa.int64())
-    return pa.schema(
-        [("block", pa.int64()), ("word", pa.string()), ("docs", pa.binary()), ("freqs", pa.binary())]
-        + [("doc_ids", longs), ("n_bytes", longs), ("marks", longs)]
-    )
-
-
-def _rows(block: int, words: list[str], docs, freqs, ends, step: int = 20_000):
-    for k in range(0, len(words), step):
-        n = len(words[k : k + step])
-        at = ends[k : k + n + 1]
-        d, f = docs[at[0] : at[-1]].tobytes(), freqs[at[0] : at[-1]].tobytes()
-        offsets = (at - at[0]).astype(np.int32)
-        none = pa.nulls(n, pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.full(n, block)),
-                pa.array(words[k : k + n], pa.string()),
-                pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(2 * offsets), pa.py_buffer(d)]),
-                pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(f)]),
-                none,
-                none,
-                none,
-            ],
-            schema=_schema(),
-        )
+            nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            code, doc, freq = (np.repeat(x, times) for x in (code, doc, freq))
+            freq = np.minimum(freq - 255 * nth, 255).astype(np.uint8)
+            hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
+            bucket = (hashes % np.uint64(buckets)).astype(np.int64)
+            order = np.lexsort((code, bucket[code]))
+            code, doc, freq = code[order], doc[order].astype(np.uint16), freq[order]
+            first = np.flatnonzero(np.diff(code, prepend=-1))
+            sizes = np.diff(np.append(first, len(code))).astype(np.uint16)
+            seen = code[first]
+            turn = np.flatnonzero(np.diff(bucket[seen], prepend=-1))
+            edges = np.append(first, len(code))
+            rows = []
+            for a, b in zip(turn.tolist(), np.append(turn[1:], len(seen)).tolist()):
+                x, y = edges[a], edges[b]
+                parts = [words[i].encode() for i in seen[a:b]]
+                lengths = np.array([len(p) for p in parts], np.uint32).tobytes()
+                rows.append(
+                    {
+                        "bucket": int(bucket[seen[a]]),
+                        "block": base + k,
+                        "words": press(np.uint32(len(parts)).tobytes() + lengths + b"".join(parts)),
+                        "sizes": press(sizes[a:b].tobytes()),
+                        "docs": press(doc[x:y].tobytes()),
+                        "freqs": press(freq[x:y].tobytes()),
+                    }
+                )
+                if len(rows) == 1_000:
+                    yield pa.RecordBatch.from_pylist(rows, schema=PACKED_SCHEMA)
+                    rows = []
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema=PACKED_SCHEMA)
 
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PACKED)
 
-def _distinct_words(docs: DataFrame, path: str, chars: int) -> DataFrame:
-    """Distinct pre-tokens of all documents, first within each block."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
-        for held in _blocks(batches, chars):
-            words = pa.array(sorted(enc.distinct(text for _, text, _ in held)), pa.string())
-            for k in range(0, len(words), 20_000):
-                yield pa.RecordBatch.from_arrays([words.slice(k, 20_000)], names=["word"])
+def _unpacked(raw: bytes) -> list[str]:
+    n = int(np.frombuffer(raw, np.uint32, 1)[0])
+    ends = 4 * (n + 1) + np.cumsum(np.frombuffer(raw, np.uint32, n, 4), dtype=np.int64)
+    return [raw[a:b].decode() for a, b in zip([4 * (n + 1), *ends[:-1].tolist()], ends.tolist())]
 
-    picked = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return picked.mapInArrow(run, "word string").distinct()
 
+def _sums(packed: DataFrame, path: str) -> DataFrame:
+    """Per task and block: tokens of each document from the buckets of the task; block rows pass through."""
 
-def _piece_counts(words: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for batch in batches:
-            n = [len(x) // 4 for x in enc.ids_of(batch.column(0).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], names=["word", "n"])
-
-    return words.mapInArrow(run, "word string, n long")
-
-
-def _partial_sums(joined: DataFrame) -> DataFrame:
-    """Per task and block: pieces of each document so far; the block's own row passes through."""
-    schema = "block long, at array<int>, n array<long>, doc_ids array<long>, n_bytes array<long>, marks array<long>"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_ = zstandard.ZstdDecompressor().decompress
         sums: dict[int, np.ndarray] = {}
-        longs = pa.list_(pa.int64())
-        names = ["block", "at", "n", "doc_ids", "n_bytes", "marks"]
+        held: list[dict] = []
+
+        def settle():
+            """Count the distinct pre-tokens of one bucket and add up."""
+            lists = [_unpacked(open_(r["words"])) for r in held]
+            distinct = list({w for ws in lists for w in ws})
+            pieces = dict(zip(distinct, enc.counts(distinct)))
+            for r, ws in zip(held, lists):
+                n = np.fromiter(map(pieces.__getitem__, ws), np.int64, len(ws))
+                n = np.repeat(n, np.frombuffer(open_(r["sizes"]), np.uint16))
+                n = n * np.frombuffer(open_(r["freqs"]), np.uint8)
+                found = np.bincount(np.frombuffer(open_(r["docs"]), np.uint16), n).astype(np.int64)
+                total = sums.get(r["block"])
+                if total is None or len(total) < len(found):
+                    sums[r["block"]] = found if total is None else found + np.pad(total, (0, len(found) - len(total)))
+                else:
+                    total[: len(found)] += found
+            held.clear()
 
         def flush():
+            rows = []
             for block, total in sums.items():
-                at = np.flatnonzero(total).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([block]), pa.array([at], pa.list_(pa.int32())), pa.array([total[at]], longs)]
-                    + [pa.nulls(1, longs)] * 3,
-                    names=names,
-                )
+                at = np.flatnonzero(total).astype(np.uint16)
+                rows.append({"block": block, "at": at.tobytes(), "n": total[at].astype(np.uint32).tobytes()})
             sums.clear()
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema=SUMS_SCHEMA)
 
         for batch in batches:
-            cols = dict(zip(batch.schema.names, batch.columns))
-            own = pc.is_valid(cols["doc_ids"])
-            if pc.any(own).as_py():
-                info = batch.filter(own)
-                kept = [info.column(info.schema.get_field_index(c)) for c in ("block", "doc_ids", "n_bytes", "marks")]
-                blank = [pa.nulls(info.num_rows, pa.list_(pa.int32())), pa.nulls(info.num_rows, longs)]
-                yield pa.RecordBatch.from_arrays([kept[0], *blank, *kept[1:]], names=names)
-                batch = batch.filter(pc.invert(own))
-                cols = dict(zip(batch.schema.names, batch.columns))
-            if not batch.num_rows:
-                continue
-            docs = np.frombuffer(b"".join(cols["docs"].to_pylist()), np.uint16)
-            freqs = np.frombuffer(b"".join(cols["freqs"].to_pylist()), np.uint8)
-            sizes = pc.binary_length(cols["freqs"]).to_numpy()
-            n = np.repeat(cols["n"].to_numpy().astype(np.int64), sizes) * freqs
-            blocks, which = np.unique(cols["block"].to_numpy(), return_inverse=True)
-            which = np.repeat(which, sizes)
-            for k, block in enumerate(blocks.tolist()):
-                mine = which == k if len(blocks) > 1 else slice(None)
-                found = np.bincount(docs[mine], n[mine], minlength=1).astype(np.int64)
-                total = sums.get(block)
-                if total is None or len(total) < len(found):
-                    sums[block] = found if total is None else found + np.pad(total, (0, len(found) - len(total)))
-                else:
-                    total[: len(found)] += found
-            if len(sums) > OPEN_BLOCKS:
-                yield from flush()
+            for r in batch.to_pylist():
+                if r["info"] is not None:
+                    row = {"block": r["block"], "info": r["info"]}
+                    yield pa.RecordBatch.from_pylist([row], schema=SUMS_SCHEMA)
+                    continue
+                if held and held[0]["bucket"] != r["bucket"]:
+                    settle()
+                    if len(sums) > OPEN_BLOCKS:
+                        yield from flush()
+                held.append(r)
+        if held:
+            settle()
         yield from flush()
 
-    return joined.select("block", "n", "docs", "freqs", "doc_ids", "n_bytes", "marks").mapInArrow(run, schema)
+    return packed.repartition("bucket").sortWithinPartitions("bucket", "block").mapInArrow(run, SUMS)
 
 
 def count_tokens(docs: DataFrame, path: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -194,25 +190,21 @@ def count_tokens(docs: DataFrame, path: str, block_chars: int = BLOCK_CHARS) ->
     Null text counts as empty (no tokens); rows with a null or repeated doc_id are counted each; extra
     columns are ignored; an empty table gives no rows. A special string inside a text is one token.
     """
-    postings = _postings(docs, path, block_chars)
-    pieces = _piece_counts(_distinct_words(docs, path, block_chars), path)
-    sums = _partial_sums(postings.join(pieces, "word", "left"))
+    buckets = BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sums = _sums(_packed(docs, path, block_chars, buckets), path)
 
     def finish(table: pa.Table) -> pa.Table:
-        total = None
-        parts = []
-        for row in table.to_pylist():
-            if row["doc_ids"] is not None:
-                total = np.array(row["marks"], np.int64)
-                own = row
-            else:
-                parts.append((np.array(row["at"], np.int64), np.array(row["n"], np.int64)))
-        for at, n in parts:
-            total[at] += n
+        rows = table.to_pylist()
+        (own,) = [r["info"] for r in rows if r["info"] is not None]
+        ids, given, n_bytes, so_far = np.frombuffer(own, np.int64).reshape(4, -1)
+        total = so_far.copy()
+        for r in rows:
+            if r["info"] is None:
+                total[np.frombuffer(r["at"], np.uint16)] += np.frombuffer(r["n"], np.uint32)
         return pa.table(
             {
-                "doc_id": pa.array(own["doc_ids"], pa.int64()),
-                "n_bytes": pa.array(own["n_bytes"], pa.int64()),
+                "doc_id": pa.array(ids, pa.int64(), mask=given == 0),
+                "n_bytes": pa.array(n_bytes),
                 "n_tokens": pa.array(total),
             }
         )

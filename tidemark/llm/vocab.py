@@ -21,7 +21,7 @@ WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[{L}]+|[{N}]|[^{S}{L}{N}]+"
 #: Unicode's white space.
 SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Characters a worker keeps in its cache before it starts over.
-CACHE_CHARS = 20_000_000
+CACHE_CHARS = 12_000_000
 #: Characters past the Latin blocks; outside the basic plane; white space after a space; what Python alone takes for white space.
 BEYOND = re.compile("[\u0370-\U0010ffff]")
 ASTRAL = re.compile("[\U00010000-\U0010ffff]")
@@ -171,14 +171,15 @@ class Encoder:
             marks.append(n)
         return counts, marks
 
-    def distinct(self, texts) -> set[str]:
-        """Distinct pre-tokens of texts, special strings aside."""
-        runs: set[str] = set()
-        for text in texts:
-            for mark, part in self._sections(text):
-                if not mark:
-                    runs.update(self._cut(part))
-        return {w for run in runs for w in self._split(run)}
+    def counts(self, words: list[str]) -> list[int]:
+        """Number of ids of each pre-token; new ones are merged together and remembered."""
+        if self.held > CACHE_CHARS:
+            self.forget()
+        new = [w for w in words if w not in self.words]
+        if new:
+            self.words.update(zip(new, self.ids_of(new)))
+            self.held += sum(map(len, new))
+        return [len(self.words[w]) // 4 for w in words]
 
     def ids_of(self, words: list[str]) -> list[bytes]:
         """Ids of single pre-tokens, all in one call."""
