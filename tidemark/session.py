@@ -8,6 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's setting that removes the shuffle files of a query when it ends.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def local_session(app: str = "tidemark", cores: str = "*") -> SparkSession:
     """Session for tests and local benches; a cluster brings its own."""
@@ -50,11 +53,17 @@ def durable(df: DataFrame) -> DataFrame:
     """Write an intermediate that several branches read as a table in the shared folder.
 
     The lineage ends there, so a lost executor costs a re-read and not a second scan of the raw
-    data; and Spark knows the table's real size when it picks join strategies.
+    data; and Spark knows the table's real size when it picks join strategies. Shuffle files of the
+    write are removed once the table is there, so a chain of such steps holds those of one at a time.
     """
     spark = df.sparkSession
     path = new_path(spark, "step")
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN_UP)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
