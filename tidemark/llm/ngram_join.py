@@ -127,16 +127,11 @@ def _documents(batches: Iterator[pa.RecordBatch]):
         yield ids, sets
 
 
-def _first_of_copies(ids, sets) -> list[int]:
-    """For each document of a block the place of the first one with the same set."""
+def _first_of_copies(ids, sets) -> tuple[list[int], list[bytes | None]]:
+    """For each document of a block the place of the first one with the same set, and the digest of its set."""
     seen: dict[bytes, int] = {}
-    out = []
-    for k, s in enumerate(sets):
-        if ids[k] is None or not len(s):
-            out.append(k)
-        else:
-            out.append(seen.setdefault(xxhash.xxh3_128_digest(s.tobytes()), k))
-    return out
+    digests = [None if d is None or not len(s) else xxhash.xxh3_128_digest(s.tobytes()) for d, s in zip(ids, sets)]
+    return [k if d is None else seen.setdefault(d, k) for k, d in enumerate(digests)], digests
 
 
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -159,7 +154,7 @@ def frequent_table(texts: DataFrame, buckets: int) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, sets in _documents(batches):
-            firsts = _first_of_copies(ids, sets)
+            firsts, _ = _first_of_copies(ids, sets)
             some = [s for k, s in enumerate(sets) if firsts[k] == k and ids[k] is not None and len(s)]
             if not some:
                 continue
@@ -180,7 +175,7 @@ def frequent_table(texts: DataFrame, buckets: int) -> np.ndarray:
         F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")
     )
     table = np.zeros(1 << TABLE_BITS, bool)
-    for r in pages.toLocalIterator():
+    for r in durable(pages).toLocalIterator():
         # Spark counts positions from 1 within pages of 32,768, but 0 is in the first page
         part = np.unpackbits(np.frombuffer(bytes(r.bits), np.uint8), bitorder="little").astype(bool)
         at = np.flatnonzero(part) + (r.page - 1) * 32_768 + 1 if r.page else np.array([0])
@@ -188,7 +183,7 @@ def frequent_table(texts: DataFrame, buckets: int) -> np.ndarray:
     return table
 
 
-PACKED = "bucket long, sig binary, doc binary, size binary, doc_id long, first long, n long, shingles binary"
+PACKED = "bucket long, sig binary, doc binary, size binary, doc_id long, first long, n long, digest binary, shingles binary"
 
 
 def _packed(texts: DataFrame, table: np.ndarray, buckets: int) -> DataFrame:
@@ -198,7 +193,7 @@ def _packed(texts: DataFrame, table: np.ndarray, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(shared.value).astype(bool)
         names = [c.split()[0] for c in PACKED.split(", ")]
-        kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), *[pa.int64()] * 3, pa.binary(), pa.binary()]
 
         def batch_of(**columns) -> pa.RecordBatch:
             n = len(next(iter(columns.values())))
@@ -206,7 +201,7 @@ def _packed(texts: DataFrame, table: np.ndarray, buckets: int) -> DataFrame:
             return pa.RecordBatch.from_arrays(made, names=names)
 
         for ids, sets in _documents(batches):
-            firsts = _first_of_copies(ids, sets)
+            firsts, digests = _first_of_copies(ids, sets)
             sigs, docs, sizes, hot = [], [], [], []
             for k, s in enumerate(sets):
                 if firsts[k] != k or ids[k] is None or not len(s):
@@ -218,7 +213,7 @@ def _packed(texts: DataFrame, table: np.ndarray, buckets: int) -> DataFrame:
                 sizes.append(np.full(len(sig), len(s), np.int32))
                 if len(s) - frequent.sum() < spare(len(s)) + 1:
                     hot.append(k)
-            own = {"doc_id": ids, "first": [ids[f] for f in firsts], "n": [len(s) for s in sets]}
+            own = {"doc_id": ids, "first": [ids[f] for f in firsts], "n": [len(s) for s in sets], "digest": digests}
             yield batch_of(**own)
             if hot:
                 yield batch_of(doc_id=[ids[k] for k in hot], shingles=[sets[k].tobytes() for k in hot])
@@ -269,6 +264,20 @@ def _candidates(packed: DataFrame) -> DataFrame:
     return found.distinct()
 
 
+def _copies(own: DataFrame) -> DataFrame:
+    """``doc_id, same`` (smallest id with an equal set) of the first of each set in a block."""
+    firsts = own.filter("first = doc_id and digest is not null").select("doc_id", "digest").distinct()
+    least = firsts.groupBy("digest").agg(F.min("doc_id").alias("same"))
+    return durable(firsts.join(least, "digest").select("doc_id", "same"))
+
+
+def _of_representatives(found: DataFrame, copies: DataFrame) -> DataFrame:
+    """Candidates between sets instead of documents: each equal set is verified once."""
+    a, b = (copies.select(F.col("doc_id").alias(c), F.col("same").alias(f"{c}_")) for c in "ab")
+    ends = F.least("a_", "b_").alias("a"), F.greatest("a_", "b_").alias("b")
+    return found.join(a, "a").join(b, "b").filter("a_ <> b_").select(*ends, "chained").distinct()
+
+
 def _with_sets(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     """``doc_id, shingles`` of the documents in ``nodes``."""
 
@@ -355,18 +364,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     packed = durable(_packed(texts, frequent_table(texts, buckets), buckets))
-    own = packed.filter("n is not null").select("doc_id", "first", "n")
-    found = durable(_candidates(packed))
+    own = packed.filter("n is not null").select("doc_id", "first", "n", "digest")
+    copies = _copies(own)
+    found = durable(_of_representatives(_candidates(packed), copies))
     pairs = found.filter("not chained").select("a", "b")
     nodes = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    links = _verified(pairs, durable(_with_sets(texts, nodes)))
+    links = durable(_verified(pairs, durable(_with_sets(texts, nodes))))
     hot = packed.filter("shingles is not null").select("doc_id", "shingles")
     chains = found.filter("chained").select("a", "b")
     # a signature can be shared by many although its shingle is rare by count: then sets come from the texts
     missing = chains.select(F.col("a").alias("doc_id")).union(chains.select("b")).distinct().join(hot, "doc_id", "left_anti")
     sets = hot.union(_with_sets(texts, missing))
-    copies = own.filter("first <> doc_id").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-    every = links.union(_family_links(chains, sets)).union(copies)
+    twins = own.filter("first <> doc_id").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+    twins = twins.union(copies.filter("doc_id <> same").select("doc_id", "same"))
+    every = links.union(_family_links(chains, sets)).union(twins)
     linked = components(every)
     return own.join(linked, own.doc_id == linked.node, "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
