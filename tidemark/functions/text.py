@@ -21,9 +21,8 @@ def format_or_insufficient(x: Column, pattern: str = "%.4e") -> Column:
 
 def pretty_label(name: Column, prefix: str, overrides: dict[str, str] | None = None) -> Column:
     """Readable label: an override, else the name without prefix, spaced and capitalised."""
-    stripped = F.when(name.startswith(prefix), F.substring(name, len(prefix) + 1, 1_000)).otherwise(
-        name
-    )
+    rest = F.substr(name, F.lit(len(prefix) + 1))
+    stripped = F.when(name.startswith(prefix), rest).otherwise(name)
     auto = F.initcap(F.replace(stripped, F.lit("_"), F.lit(" ")))
     if not overrides:
         return auto

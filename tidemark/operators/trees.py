@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame
@@ -104,7 +105,7 @@ def tree_random_search(
     for params in configs:
         try:
             forecast = tree_forecast(assigned, keys, pos, target, features, params, seed)
-        except Exception as err:  # invalid hyperparameters surface as JVM errors
+        except IllegalArgumentException as err:  # only what MLlib refuses; lost executors still fail
             spark._jvm.System.err.println(f"configuration skipped: {params}: {err}")
             continue
         one = forecast.withColumn("config_id", F.lit(int(params["config_id"])))

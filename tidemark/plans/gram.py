@@ -28,7 +28,7 @@ def gram(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFram
         for batch in batches:
             if batch.empty:
                 continue
-            for key, part in batch.groupby(keys, sort=False):
+            for key, part in batch.groupby(keys, sort=False, dropna=False):
                 x = part[columns].to_numpy(dtype="float64")
                 x = x[~np.isnan(x).any(axis=1)]
                 cross = x.T @ x
@@ -40,7 +40,7 @@ def gram(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFram
                     }
                 )
                 for name, k in zip(keys, key, strict=True):
-                    out.insert(0, name, k)
+                    out.insert(0, name, None if pd.isna(k) else k)
                 yield out[[*keys, "_i", "_j", "_s"]]
 
     rows = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns])
