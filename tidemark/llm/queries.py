@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import cover_tree, decontaminate, html_text, line_dedup, ngram_join, packing, quality, token_counts, token_store, toxicity
+from tidemark.llm import cover_tree, decontaminate, html_text, line_dedup, merkle, ngram_join, packing, quality, token_counts, token_store, toxicity
 from tidemark.llm.vocab import vocabulary
 from tidemark.session import new_path
 
@@ -124,3 +124,72 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("toxicity") >= 0.7).cast("int").alias("predicted"),
         "passages",
     )
+
+
+_CAPITALS, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+# crc32 as a fold over the bytes of the decimal id: -1 stands for one shift
+_MANIFEST = f"""
+WITH RECURSIVE base AS (
+  SELECT doc_id, source, lang, n_chars, text,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+      lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295::BIGINT) % 3 = 0 AS touched,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST) - 1 AS idx,
+    count(*) OVER (PARTITION BY lang) AS n
+  FROM documents),
+parts AS (
+  SELECT *, CASE WHEN doc_id IS NULL THEN '-' ELSE strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id END
+    || CASE WHEN source IS NULL THEN '-' ELSE strlen(source) || ':' || source END
+    || CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang) || ':' || lang END
+    || CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars END AS head,
+    CASE WHEN lang IS NULL THEN '-' ELSE '=' || lang END AS grp
+  FROM base),
+leaves AS (
+  SELECT doc_id, grp, idx, n,
+    sha256(head || CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END) AS leaf,
+    sha256(head || CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' ||
+      CASE WHEN touched THEN translate(text, '{_CAPITALS}', '{_SMALL}') ELSE text END END) AS altered
+  FROM parts),
+nodes AS (
+  SELECT grp, 0 AS level, idx, n, leaf AS digest FROM leaves
+  UNION ALL
+  SELECT grp, level + 1, idx // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY idx))
+  FROM nodes WHERE n > 1 GROUP BY grp, level, idx // 8, n),
+subroots AS (
+  SELECT grp, level, digest AS subroot, row_number() OVER (ORDER BY grp) - 1 AS place, count(*) OVER () AS m
+  FROM nodes WHERE n = 1),
+tops AS (
+  SELECT 0 AS level, place, m, subroot AS digest FROM subroots
+  UNION ALL
+  SELECT level + 1, place // 8, (m + 7) // 8, sha256(string_agg(digest, '' ORDER BY place))
+  FROM tops WHERE m > 1 GROUP BY level, place // 8, m),
+ways AS (
+  SELECT l.doc_id, l.grp, l.idx, k.level, (l.idx // CAST(pow(8, k.level) AS BIGINT)) AS own, k.digest, k.idx AS node, l.altered
+  FROM leaves l JOIN nodes k ON k.grp = l.grp AND k.n > 1 AND k.idx // 8 = l.idx // CAST(pow(8, k.level + 1) AS BIGINT)
+  UNION ALL
+  SELECT l.doc_id, l.grp, l.idx, s.level + t.level, s.place // CAST(pow(8, t.level) AS BIGINT), t.digest, t.place, l.altered
+  FROM leaves l JOIN subroots s ON s.grp = l.grp
+  JOIN tops t ON t.m > 1 AND t.place // 8 = s.place // CAST(pow(8, t.level + 1) AS BIGINT)),
+steps AS (
+  SELECT grp, idx, level, coalesce(string_agg(digest, '' ORDER BY node) FILTER (WHERE node < own), '') AS before,
+    coalesce(string_agg(digest, '' ORDER BY node) FILTER (WHERE node > own), '') AS after
+  FROM ways GROUP BY grp, idx, level),
+folds AS (
+  SELECT grp, idx, 0 AS level, altered AS digest FROM leaves
+  UNION ALL
+  SELECT f.grp, f.idx, f.level + 1, sha256(s.before || f.digest || s.after)
+  FROM folds f JOIN steps s ON s.grp = f.grp AND s.idx = f.idx AND s.level = f.level),
+ends AS (SELECT grp, idx, arg_max(digest, level) AS folded_root FROM folds GROUP BY grp, idx),
+proofs AS (SELECT grp, idx, string_agg(before || after, '' ORDER BY level) AS proof FROM steps GROUP BY grp, idx)
+SELECT l.doc_id, l.leaf, s.subroot, t.digest AS root, sha256(coalesce(p.proof, '')) AS proof_sha256,
+  e.folded_root, e.folded_root = t.digest AS verified
+FROM leaves l JOIN subroots s ON s.grp = l.grp JOIN tops t ON t.m = 1
+JOIN ends e ON e.grp = l.grp AND e.idx = l.idx LEFT JOIN proofs p ON p.grp = l.grp AND p.idx = l.idx"""
+
+
+@_query("op13_merkle_manifest", _MANIFEST)
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    touched = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    altered = F.when(touched, F.translate("text", _CAPITALS, _SMALL))
+    return merkle.verify_documents(_table(spark, sf, "documents"), altered)
