@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import cover_tree, decontaminate, html_text, line_dedup, merkle, ngram_join, packing, quality, token_counts, token_store, toxicity
+from tidemark.llm import config_packing, cover_tree, decontaminate, html_text, line_dedup, merkle, ngram_join, packing, quality, token_counts, token_store, toxicity
 from tidemark.llm.vocab import vocabulary
 from tidemark.session import new_path
 
@@ -193,3 +193,9 @@ def op13(spark: SparkSession, sf: str) -> DataFrame:
     touched = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
     altered = F.when(touched, F.translate("text", _CAPITALS, _SMALL))
     return merkle.verify_documents(_table(spark, sf, "documents"), altered)
+
+
+@_query("op12_config_packing")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents")
+    return config_packing.pack_best_fit(docs, vocabulary("word_bpe_49k.json"), 0, keep_ids=False).drop("ids")
