@@ -116,7 +116,7 @@ def plan(counts: np.ndarray) -> list[tuple[Pattern, int]]:
     size = len(counts) - 1
     left = counts.astype(np.int64).copy()
     waiting: dict[int, list[tuple[Pattern, int]]] = defaultdict(list)  # by gap
-    for part in (0.0, 1 - 1e-9):  # round down, then up as far as pieces remain
+    for part in (0.0, 0.5):  # round down, then to the nearest as far as pieces remain
         if not left.any():
             break
         for pattern, amount in sorted(solve(left).items(), key=lambda x: (-x[1], x[0])):
