@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import config_packing, cover_tree, decontaminate, html_text, line_dedup, merkle, ngram_join, packing, quality, token_counts, token_store, toxicity
+from tidemark.llm import config_packing, cover_tree, decontaminate, html_text, line_dedup, merkle, ngram_join, packing, quality, token_counts, token_store, toxicity, whitening
 from tidemark.llm.vocab import vocabulary
 from tidemark.session import new_path
 
@@ -199,3 +199,9 @@ def op13(spark: SparkSession, sf: str) -> DataFrame:
 def op12(spark: SparkSession, sf: str) -> DataFrame:
     docs = _table(spark, sf, "documents")
     return config_packing.pack_best_fit(docs, vocabulary("word_bpe_49k.json"), 0, keep_ids=False).drop("ids")
+
+
+@_query("op11_whitening")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = _table(spark, sf, "embeddings").select("vec_id", "embedding")
+    return whitening.whiten(vectors, whitening.fit(vectors))
