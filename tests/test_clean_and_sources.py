@@ -1,5 +1,6 @@
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,3 +143,46 @@ def test_lags_and_shift(spark):
     m = supervised_matrix(df, ["series_id"], "pos", "v", [1], 5, chunk=4).toPandas()
     assert m.pos.min() == 5 and m.pos.max() == 24 and (m.split == "test").sum() == 5
     assert (m.v_lag_1.dropna() == m.v[m.v_lag_1.notna()] - 6).all()
+
+
+def test_supervised_matrix_is_the_same_for_every_chunk_size(spark):
+    """Rows with gaps: frames count the rows that are left, also across chunk edges."""
+    from tidemark.operators.tsstats import adf_test, arch_lm
+
+    rng = np.random.default_rng(3)
+    rows = [("s", i, float(v)) for i, v in enumerate(rng.normal(size=260)) if rng.random() > 0.3]
+    df = spark.createDataFrame(rows, "series_id string, pos bigint, v double")
+    values = [v for _, _, v in rows]
+    want = {(rows[i][1], rows[i - 5 - 1][2], rows[i - 5 - 3][2]) for i in range(8, len(rows) - 5)}
+    stats = set()
+    for chunk in (8, 40, 16384):
+        m = supervised_matrix(df, ["series_id"], "pos", "v", [1, 3], 5, chunk=chunk).collect()
+        assert {(r.pos, r.v_lag_1, r.v_lag_3) for r in m if r.v_lag_3 is not None} == want
+        assert len(m) == len(rows) - 10
+        a = adf_test(df, ["series_id"], "pos", "v", chunk=chunk).first()
+        b = arch_lm(df, ["series_id"], "pos", "v", chunk=chunk).first()
+        stats.add((round(a.adf_stat, 8), a.used_lag, a.nobs, round(b.lm_stat, 8)))
+    assert len(stats) == 1
+    # the regression on consecutive values, with the lag the test chose
+    adf, lag, nobs, lm = stats.pop()
+    y = np.array(values)
+    d = np.diff(y)
+    x = np.column_stack([np.ones(nobs), y[lag:-1], *[d[lag - j : len(d) - j] for j in range(1, lag + 1)]])
+    coef, *_ = np.linalg.lstsq(x, d[lag:], rcond=None)
+    resid = d[lag:] - x @ coef
+    se = np.sqrt(resid @ resid / (nobs - x.shape[1]) * np.linalg.inv(x.T @ x)[1, 1])
+    assert np.isclose(adf, coef[1] / se)
+    e = y**2
+    x = np.column_stack([np.ones(len(e) - 10), *[e[10 - j : len(e) - j] for j in range(1, 11)]])
+    coef, *_ = np.linalg.lstsq(x, e[10:], rcond=None)
+    resid = e[10:] - x @ coef
+    assert np.isclose(lm, len(resid) * (1 - resid @ resid / ((e[10:] - e[10:].mean()) ** 2).sum()))
+
+
+def test_null_groups_keep_their_density_curve(spark):
+    from tidemark.operators.aggregates import kde_curve
+
+    df = spark.createDataFrame([(k, float(v)) for k in ("a", None) for v in range(9)], "k string, v double")
+    got = kde_curve(df, ["k"], "v", 5).collect()
+    curves = {k: [r.density for r in sorted(got, key=lambda r: r.point) if r.k == k] for k in ("a", None)}
+    assert len(curves["a"]) == 5 and np.allclose(curves["a"], curves[None])

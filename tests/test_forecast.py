@@ -143,3 +143,19 @@ def test_tree_search_skips_invalid(spark, df):
     assert [r.config_id for r in scores.collect()] == [1] and best.first().config_id == 1
     with pytest.raises(RuntimeError):
         tree_random_search(a, KEYS, "pos", "value", ["x"], configs[1:])
+
+
+def test_a_part_of_a_horizon_scores_null(spark, assigned, df):
+    naive = fc.seasonal_naive(assigned, KEYS, "pos", "value", M)
+    part = naive.filter((F.col("series_id") != "a") | (F.col("pos") < N - H + 4))
+    scored = {r.series_id: r.custom_loss for r in fc.score_folds(assigned, part, KEYS, "pos", "value").collect()}
+    assert scored["a"] is None
+    whole = {r.series_id: r.custom_loss for r in fc.score_folds(assigned, naive, KEYS, "pos", "value").collect()}
+    assert whole["a"] is not None
+    folds = fc.last_day_fold(lengths(df, KEYS, "pos"), KEYS, H)
+    models = {"whole": lambda a: naive, "part": lambda a: part}
+    both = fc.compare_models(df, folds, models).filter("series_id = 'a'")
+    from tidemark.operators.metrics import evaluate, leaderboard
+
+    ranks = {r.model: (r.rank, r.custom_loss) for r in leaderboard(evaluate(both, ["model"])).collect()}
+    assert ranks["whole"][0] == 1 and ranks["part"] == (2, None)

@@ -201,3 +201,11 @@ def test_correlations_match_pandas(spark, monkeypatch, limit):
     check(cells(spearman_matrix(sdf, names)), gaps.corr("spearman"))
     check(cells(spearman_matrix(sdf, names, "listwise")), gaps.dropna().corr("spearman"))
     check(cells(spearman_matrix(spark.createDataFrame(pdf), names)), pdf.corr("spearman"))
+
+
+def test_null_keys_meet_in_lookups(spark):
+    df = spark.createDataFrame([("a", 1), (None, 2), (None, 3)], "k string, v int")
+    stats = spark.createDataFrame([("a", 10), (None, 20)], "k string, s int")
+    for large in (None, 0):  # salted, broadcast
+        got = attach(df, stats, ["k"], ["v"], large=large).collect()
+        assert sorted((r.v, r.s) for r in got) == [(1, 10), (2, 20), (3, 20)]

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.calendar import SEASONAL_TERMS, changepoints, days, fourier, hinges
 from tidemark.operators.metrics import evaluate
+from tidemark.operators.scoring import with_actuals
 from tidemark.plans.gram import gram, key_ddl, matrix, packed, solve
 from tidemark.plans.lookup import attach
 from tidemark.plans.order import quantiles
@@ -131,11 +132,9 @@ def additive_grid_search(
 ) -> DataFrame:
     """Mean RMSE over the folds per (series, config_id), best first."""
     forecast = additive_forecast(assigned, keys, pos, ts, value, configs, terms)
-    by = [*keys, "fold"]
-    actual = assigned.filter(F.col("part") == "test").select(
-        *by, pos, F.col(value).alias("y_true")
+    scored = evaluate(
+        with_actuals(assigned, forecast, keys, pos, value, ["config_id"]), [*keys, "fold", "config_id"]
     )
-    scored = evaluate(durable(forecast.join(actual, [*by, pos])), [*by, "config_id"])
     return (
         scored.groupBy(*keys, "config_id")
         .agg(F.avg("rmse").alias("mean_rmse"), F.count("rmse").alias("n_folds"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.calendar import slot
 from tidemark.functions.histogram import HISTOGRAM_PREFIX, bin_label, bin_labels, bin_start
 from tidemark.operators.features import time_since_previous
+from tidemark.plans.chunks import null_safe_join
 from tidemark.plans.lookup import attach
 from tidemark.plans.order import quantiles, value_counts
 from tidemark.session import durable
@@ -186,7 +187,8 @@ def kde_curve(
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for key, g in batch.groupby(keys, sort=False):
+            for key, g in batch.groupby(keys, sort=False, dropna=False):
+                key = [None if pd.isna(k) else k for k in key]
                 lo, hi, bw = g["_lo"].iloc[0], g["_hi"].iloc[0], g["_bw"].iloc[0]
                 grid = np.linspace(lo, hi, points)
                 z = (grid[:, None] - g[value].to_numpy()[None, :]) / bw
@@ -207,7 +209,7 @@ def kde_curve(
     )
     norm = F.col("_n") * F.col("_bw") * F.lit(math.sqrt(2 * math.pi))
     at = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("point") / F.lit(points - 1)
-    return sums.join(stats, keys).select(
+    return null_safe_join(sums, stats, keys).select(
         *keys, "point", at.alias("x"), (F.col("_sum") / norm).alias("density")
     )
 

@@ -12,7 +12,7 @@ from tidemark.functions.columns import require_columns
 from tidemark.functions.histogram import HISTOGRAM_PREFIX
 from tidemark.operators.clean import drop_null_rows, trim_last
 from tidemark.operators.reshape import to_long
-from tidemark.plans.chunks import CHUNK, over_halo
+from tidemark.plans.chunks import CHUNK, over_halo, row_numbers
 from tidemark.plans.lookup import attach
 from tidemark.plans.order import over_rows
 
@@ -197,16 +197,18 @@ def supervised_matrix(
     chunk: int = CHUNK,
 ) -> DataFrame:
     """Features for direct forecasting ``horizon`` steps ahead: drop incomplete rows, add target
-    lags, trim the held-back tail, shift every feature by the horizon, label train / test."""
-    complete = drop_null_rows(df)
-    lagged = lag_features(complete, keys, pos, target, lags, chunk)
-    trimmed = trim_last(lagged, keys, pos, horizon if trim is None else trim)
+    lags, trim the held-back tail, shift every feature by the horizon, label train / test.
+
+    Lags, trimming and shifts count the rows that are left, so gaps change nothing but ``pos``."""
+    complete = row_numbers(drop_null_rows(df), keys, pos, "_row", chunk)
+    lagged = lag_features(complete, keys, "_row", target, lags, chunk)
+    trimmed = trim_last(lagged, keys, "_row", horizon if trim is None else trim)
     features = [
         c
         for c, t in trimmed.dtypes
-        if c not in (*keys, pos, target) and t in ("double", "float", "bigint", "int")
+        if c not in (*keys, pos, "_row", target) and t in ("double", "float", "bigint", "int")
     ]
-    shifted = shift_features(trimmed, keys, pos, features, horizon, chunk)
-    top = shifted.groupBy(*keys).agg(F.max(pos).alias("_top"))
-    split = F.when(F.col(pos) > F.col("_top") - horizon, F.lit("test")).otherwise(F.lit("train"))
-    return attach(shifted, top, keys, [pos]).withColumn("split", split).drop("_top")
+    shifted = shift_features(trimmed, keys, "_row", features, horizon, chunk)
+    top = shifted.groupBy(*keys).agg(F.max("_row").alias("_top"))
+    split = F.when(F.col("_row") > F.col("_top") - horizon, F.lit("test")).otherwise(F.lit("train"))
+    return attach(shifted, top, keys, [pos]).withColumn("split", split).drop("_top", "_row")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.metrics import cv_scores, evaluate
 from tidemark.operators.reshape import assign_folds, with_configs
+from tidemark.operators.scoring import with_actuals
 from tidemark.plans.chunks import CHUNK, over_halo
 from tidemark.plans.gram import gram, key_ddl, matrix, packed, solve
 from tidemark.plans.lookup import attach
@@ -421,12 +422,9 @@ def score_folds(
     value: str,
     extra: Sequence[str] = (),
 ) -> DataFrame:
-    """Six metrics per (series, fold[, configuration])."""
-    by = [*keys, "fold"]
-    actual = _test_rows(assigned).select(*by, pos, F.col(value).alias("y_true"))
-    # written once: scoring needs the group means first, and models must not run twice for that
-    joined = durable(forecast.join(actual, [*by, pos], "inner"))
-    return evaluate(joined, [*by, *extra])
+    """Six metrics per (series, fold[, configuration]); null where a step has no forecast."""
+    joined = with_actuals(assigned, forecast, keys, pos, value, extra)
+    return evaluate(joined, [*keys, "fold", *extra])
 
 
 def backtest(
@@ -461,8 +459,7 @@ def compare_models(
     for name, model in models.items():
         one = model(assigned).select(*by, "y_pred").withColumn("model", F.lit(name))
         tables = one if tables is None else tables.unionByName(one)
-    actual = _test_rows(assigned).select(*by, F.col(value).alias("y_true"))
-    return tables.join(actual, by, "inner")
+    return with_actuals(assigned, tables, keys, pos, value, ["model"])
 
 
 def last_day_fold(sizes: DataFrame, keys: Sequence[str], horizon: int) -> DataFrame:

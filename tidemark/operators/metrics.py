@@ -149,7 +149,7 @@ def metric_matrix(scores: DataFrame, models: Sequence[str], metrics=None) -> Dat
 
 def leaderboard(scores: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Models ranked by composite loss with the three headline metrics. One row per model."""
-    w = Window.partitionBy(*keys).orderBy("custom_loss")
+    w = Window.partitionBy(*keys).orderBy(F.col("custom_loss").asc_nulls_last())
     return scores.select(
         *keys,
         "model",

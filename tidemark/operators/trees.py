@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.metrics import best_config, evaluate
-from tidemark.session import durable
+from tidemark.operators.scoring import with_actuals
 
 # The search grid. Keys MLlib has no counterpart for are accepted and unused.
 TREE_GRID = {
@@ -58,10 +58,13 @@ def fit_trees(
 def predict_trees(
     model: GBTRegressionModel, rows: DataFrame, features: Sequence[str]
 ) -> DataFrame:
-    ready = VectorAssembler(
-        inputCols=list(features), outputCol="_features", handleInvalid="skip"
-    ).transform(rows)
-    return model.transform(ready).withColumnRenamed("prediction", "y_pred").drop("_features")
+    """Every row with ``y_pred``, null where a feature is missing."""
+    whole = F.lit(True)
+    for f in features:
+        whole = whole & F.col(f).isNotNull() & ~F.isnan(F.col(f).cast("double"))
+    ready = VectorAssembler(inputCols=list(features), outputCol="_features").transform(rows.filter(whole))
+    told = model.transform(ready).withColumnRenamed("prediction", "y_pred").drop("_features")
+    return told.unionByName(rows.filter(~whole).withColumn("y_pred", F.lit(None).cast("double")))
 
 
 def tree_forecast(
@@ -98,9 +101,6 @@ def tree_random_search(
     """(scores, best): mean composite loss of each configuration over the folds. A configuration
     MLlib refuses is skipped; the winner is to be refitted on all data by the caller."""
     spark = assigned.sparkSession
-    actual = assigned.filter(F.col("part") == "test").select(
-        *keys, "fold", pos, F.col(target).alias("y_true")
-    )
     result = None
     for params in configs:
         try:
@@ -112,9 +112,8 @@ def tree_random_search(
         result = one if result is None else result.unionByName(one)
     if result is None:
         raise RuntimeError("no configuration could be fitted")
-    scored = evaluate(
-        durable(result.join(actual, [*keys, "fold", pos])), ["config_id", "fold"]
-    )
+    whole = with_actuals(assigned, result, keys, pos, target, ["config_id"])
+    scored = evaluate(whole, ["config_id", "fold"])
     scores = scored.groupBy("config_id").agg(
         F.avg("custom_loss").alias("avg_custom_score"), F.count("custom_loss").alias("n_folds")
     )

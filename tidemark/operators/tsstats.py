@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from tidemark.functions import special
 from tidemark.operators.aggregates import above_group_quantile, resample_sweep
 from tidemark.operators.features import centered_average, days_since_previous, week_index
-from tidemark.plans.chunks import CHUNK, over_halo, with_halo
+from tidemark.plans.chunks import CHUNK, over_halo, row_numbers, with_halo
 from tidemark.plans.gram import gram, key_ddl, matrix, packed, solve
 from tidemark.plans.lookup import attach, attach_agg
 from tidemark.plans.order import positions, quantiles, running_counts, value_counts
@@ -231,13 +231,12 @@ def adf_test(
 
     Lagged differences are window columns over halo chunks; the regression for every lag order
     comes from one distributed cross-product matrix. Groups under ``min_points`` give nulls.
-    ``pos`` counts from 0 inside each group.
+    Differences are taken between the known values that follow each other, whatever ``pos`` skips.
     """
     keys = list(keys)
     known = df.select(*keys, pos, value).filter(F.col(value).isNotNull())
-    sizes = known.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(value).alias("_mean"), F.min(pos).alias("_p0")
-    )
+    known = row_numbers(known, keys, pos, "_t", chunk)
+    sizes = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("_mean"))
     lag_of_n = F.greatest(
         F.lit(0),
         F.least(
@@ -249,7 +248,7 @@ def adf_test(
     top = sizes.agg(F.max("_p")).first()[0] or 0  # one number; it sets the number of columns
     rows = attach(known, sizes.filter(F.col("n") >= min_points), keys, [pos], how="inner").select(
         *keys,
-        (F.col(pos) - F.col("_p0")).alias("_t"),
+        "_t",
         (F.col(value) - F.col("_mean")).alias("_x"),
         "_p",
     )
@@ -354,12 +353,13 @@ def arch_lm(
     """Engle's LM test: squared residuals regressed on their own lags."""
     keys = list(keys)
     known = df.select(*keys, pos, value).filter(F.col(value).isNotNull())
-    sizes = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(pos).alias("_p0"))
+    known = row_numbers(known, keys, pos, "_t", chunk)
+    sizes = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     sizes = sizes.withColumn("_l", F.least(F.lit(10), F.floor(F.col("n") / 5)).cast("int")).filter(
         F.col("_l") > 0
     )
     rows = attach(known, sizes, keys, [pos], how="inner").select(
-        *keys, (F.col(pos) - F.col("_p0")).alias("_t"), (F.col(value) ** 2).alias("_e"), "_l"
+        *keys, "_t", (F.col(value) ** 2).alias("_e"), "_l"
     )
     wide = over_halo(
         rows,

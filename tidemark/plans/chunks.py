@@ -59,6 +59,15 @@ def over_halo(
     )
 
 
+def null_safe_join(
+    left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner"
+) -> DataFrame:
+    """Join by columns of both sides where null meets null, as in a grouping; ``on`` appears once."""
+    named = right.withColumnsRenamed({k: f"_right_{k}" for k in on})
+    same = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in on]
+    return left.join(named, same, how).drop(*[f"_right_{k}" for k in on])
+
+
 def running_sum(
     df: DataFrame, keys: Sequence[str], pos: str, value: Column, out: str, chunk: int = CHUNK
 ) -> DataFrame:
@@ -81,6 +90,17 @@ def running_sum(
     )
 
 
+def row_numbers(
+    df: DataFrame, keys: Sequence[str], pos: str, out: str, chunk: int = CHUNK
+) -> DataFrame:
+    """Dense 0-based number of each row of a series by ``pos``, whatever positions are missing.
+
+    Frames that count rows need it wherever rows were dropped; ``over_halo`` counts positions.
+    """
+    counted = running_sum(df, keys, pos, F.lit(1).cast("bigint"), out, chunk)
+    return counted.withColumn(out, (F.col(out) - 1).cast("bigint"))
+
+
 def _edge_aggs(pos: str, c: str) -> dict[str, Column]:
     """Position and value of the first and last non-null (fixed-width buffers: hash aggregation)."""
     at = F.when(F.col(c).isNotNull(), F.col(pos))
@@ -154,7 +174,9 @@ __all__ = [
     "CHUNK",
     "chunk_id",
     "nearest_known",
+    "null_safe_join",
     "over_halo",
+    "row_numbers",
     "running_sum",
     "with_halo",
 ]

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.plans.chunks import null_safe_join
 from tidemark.session import durable
 
 SALTS = 16
@@ -38,7 +39,7 @@ def attach(
     Spark's own choice is good, rows are spread over several join keys per group by a hash of
     ``spread_by`` (default: all columns) and the group table is repeated that often, because one
     group may hold a third of the rows. The salt depends on row content only, so a recomputed task
-    sends its rows to the same place.
+    sends its rows to the same place. Null keys meet null keys.
     """
     keys = list(keys)
     if not keys:
@@ -55,12 +56,12 @@ def attach(
     if size > large:
         stats = durable(stats)
         if input_bytes(stats) <= limit:
-            return df.join(F.broadcast(stats), keys, how)
+            return null_safe_join(df, F.broadcast(stats), keys, how)
         salts = max(SALTS, min(MAX_SALTS, size // GIB))
     spread = list(spread_by) if spread_by else [F.col(c) for c in df.columns]
     left = df.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
     right = stats.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+    return null_safe_join(left, right, [*keys, "_salt"], how).drop("_salt")
 
 
 def attach_agg(

@@ -407,6 +407,28 @@ MLAGS = [1, 2, 24]
 )
 def m24(spark, sf):
     d = dense(spark, sf).select("series_id", "pos", "value")
+    return _matrix(d)
+
+
+def _matrix(d):
     out = features.supervised_matrix(d, KEYS, "pos", "value", MLAGS, HORIZON)
     lags = [rd(f"value_lag_{k}").alias(f"value_lag_{k}") for k in MLAGS]
     return out.select("series_id", "pos", rd("value").alias("value"), *lags, "split")
+
+
+@query(
+    "m24_supervised_matrix_gapped",
+    sql(
+        f"SELECT series_id, pos, {rs('y')} AS value, "
+        + ", ".join(f"{rs(f'x{k}')} AS value_lag_{k}" for k in MLAGS)
+        + f", CASE WHEN i > top - {HORIZON} THEN 'test' ELSE 'train' END AS split FROM ("
+        "SELECT *, max(i) OVER (PARTITION BY series_id) AS top FROM (SELECT series_id, pos, i, value AS y, n, "
+        + ", ".join(f"lag(value, {k + HORIZON}) OVER (PARTITION BY series_id ORDER BY pos) AS x{k}" for k in MLAGS)
+        + " FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY pos) - 1 AS i, "
+        f"count(*) OVER (PARTITION BY series_id) AS n FROM gapped WHERE value IS NOT NULL)) WHERE i < n - {HORIZON}) "
+        f"WHERE i >= {HORIZON}"
+    ),
+)
+def m24_gapped(spark, sf):
+    """Hours without a value are dropped first: lags and shifts count the hours that are left."""
+    return _matrix(gapped(spark, sf).select("series_id", "pos", "value"))
