@@ -112,14 +112,15 @@ BASE = {
 }
 
 
-def test_additive_model(assigned, wave):
+def test_additive_model(df, wave):
     terms = {"daily": (1.0, 2)}
     configs = [BASE, {**BASE, "config_id": 2, "seasonality_mode": "additive"}, {**BASE, "config_id": 3, "n_changepoints": 1}]
-    out = additive_forecast(assigned, KEYS, "pos", "ts", "value", configs, terms).toPandas()
+    folds = fc.last_day_fold(lengths(df, KEYS, "pos"), KEYS, H)
+    out = additive_forecast(df, folds, KEYS, "pos", "ts", "value", configs, terms).toPandas()
     out = out[out.series_id == "a"]
     assert len(out) == 3 * H
     assert np.abs(out["y_pred"] - wave[out["pos"]]).mean() < 1.0
-    search = additive_grid_search(assigned, KEYS, "pos", "ts", "value", configs, terms).collect()
+    search = additive_grid_search(df, folds, KEYS, "pos", "ts", "value", configs, terms).collect()
     assert {r.config_id for r in search} == {1, 2, 3} and all(r.mean_rmse >= 0 for r in search)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.columns import require_columns
-from tidemark.plans.chunks import CHUNK, chunk_id
+from tidemark.plans.chunks import CHUNK, chunk_id, null_safe_join
 
 
 def to_long(
@@ -96,7 +96,7 @@ def assign_folds(
         (p >= F.col("test_start")) & (p < F.col("test_end")), F.lit("test")
     )
     return (
-        rows.join(touched, [*keys, "_home"], "inner")
+        null_safe_join(rows, touched, [*keys, "_home"])
         .withColumn("part", part)
         .filter(F.col("part").isNotNull())
         .drop("_home")
