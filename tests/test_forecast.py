@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import forecast as fc
 from tidemark.operators.additive import additive_forecast, additive_grid_search
 from tidemark.operators.reshape import assign_folds
+from tidemark.operators.smoothing import hw_configs, smooth_cv, smooth_fitted, smooth_folds
 from tidemark.operators.splits import lengths, weekly_folds
 from tidemark.operators.trees import tree_random_search
 from tidemark.session import durable
@@ -65,41 +66,39 @@ def plain_holt_winters(y, m, alpha, beta, gamma, phi, h):
     return [level + slope * sum(phi**j for j in range(1, i + 1)) + season[(len(y) + i - 1) % m] for i in range(1, h + 1)]
 
 
-def test_holt_winters_recursion(spark, assigned, wave):
+def last_folds(df):
+    return fc.last_day_fold(lengths(df, KEYS, "pos"), KEYS, H)
+
+
+def test_holt_winters_recursion(spark, df, wave):
     fixed = {"alpha": [0.3], "beta": [0.1], "gamma": [0.2], "phi": [0.9]}
-    out = fc.holt_winters(assigned, KEYS, "pos", "value", M, config(spark, "add", "add", True), fixed)
+    out = smooth_folds(df, last_folds(df), KEYS, "pos", "value", M, config(spark, "add", "add", True), fixed)
     want = plain_holt_winters(wave[: N - H], M, 0.3, 0.1, 0.2, 0.9, H)
     assert np.allclose(one(out), want)
     assert np.isnan(one(out, "short")).all()  # fewer than two seasons: a failed fit, not a guess
 
 
-def test_holt_winters_every_form(spark, assigned, wave):
-    configs = fc.hw_configs(spark)
+def test_holt_winters_every_form(spark, df, wave):
+    configs = hw_configs(spark)
     assert configs.count() == 15
-    out = fc.holt_winters(assigned, KEYS, "pos", "value", M, configs).toPandas()
+    out = smooth_folds(df, last_folds(df), KEYS, "pos", "value", M, configs).toPandas()
     out = out[out.series_id == "a"]
     assert len(out) == 15 * H and out["y_pred"].notna().all()
     seasonal = out.merge(configs.toPandas(), on="config_id").dropna(subset=["seasonal"])
     seasonal = seasonal.assign(err=np.abs(seasonal["y_pred"] - wave[seasonal["pos"]]))
     assert seasonal["err"].mean() < 1.0
-    fit = fc.holt_winters_fitted(assigned, KEYS, "pos", "value", M, config(spark, "add", "mul"))
+    fit = smooth_fitted(df, last_folds(df), KEYS, "pos", "value", M, config(spark, "add", "mul"))
     fit = fit.toPandas().sort_values("pos")
     assert np.allclose(fit["fitted"] + fit["resid"], wave[: N - H])
 
 
 def test_holt_winters_cv_ranks_and_drops_failures(spark, df):
     folds = weekly_folds(lengths(df, KEYS, "pos"), KEYS, "sliding", 30, H)
-    got = fc.holt_winters_cv(df, folds, KEYS, "pos", "value", M, fc.hw_configs(spark)).collect()
+    got = smooth_cv(df, folds, KEYS, "pos", "value", M, hw_configs(spark)).collect()
     scores = [r.avg_custom_score for r in got]
     assert len(got) == 15 and scores == sorted(scores) and got[0].seasonal is not None
 
 
-def test_window_limit_is_an_error(assigned, monkeypatch):
-    monkeypatch.setattr(fc, "MAX_FIT_POINTS", 50)
-    with pytest.raises(Exception, match="longer than 50"):
-        fc.training_arrays(assigned, KEYS, "pos", "value").collect()
-
-
 @pytest.mark.parametrize("chunk", [9, 10_000])
 def test_seasonal_arma_follows_the_season(assigned, wave, chunk):
     got = one(fc.seasonal_arma(assigned, KEYS, "pos", "value", M, chunk))

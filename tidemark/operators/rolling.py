@@ -255,3 +255,21 @@ def backtest_folds(
     """Fit and score one forecaster on every fold; a failed fold is left out."""
     scored = score_fold_forecast(df, folds, model(df, folds), keys, pos, value, (), chunk)
     return scored.filter(F.col("custom_loss").isNotNull())
+
+
+def compare_fold_models(
+    df: DataFrame,
+    folds: DataFrame,
+    models: dict[str, FoldForecaster],
+    keys: Sequence[str] = ("series_id",),
+    pos: str = "pos",
+    value: str = "value",
+) -> DataFrame:
+    """All models' forecasts on the same folds in one table with the actuals."""
+    by = [*keys, "fold", pos]
+    tables = None
+    for name, model in models.items():
+        one = model(df, folds).select(*by, "y_pred").withColumn("model", F.lit(name))
+        tables = one if tables is None else tables.unionByName(one)
+    tests = durable(fold_tests(df, folds, keys, pos).select(*by, "part", value))
+    return with_actuals(tests, tables, keys, pos, value, ["model"])

@@ -11,7 +11,7 @@ from tidemark.functions.loss import METRICS
 from tidemark.operators import clean, reshape
 from tidemark.operators.aggregates import fee_histogram
 from tidemark.operators.features import lag_features
-from tidemark.operators.forecast import hw_configs
+from tidemark.operators.smoothing import hw_configs
 from tidemark.operators.metrics import best_config, evaluate, leaderboard, metric_matrix
 from tidemark.operators.splits import lengths, weekly_folds
 from tidemark.plans.lookup import attach

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import reshape, splits
-from tidemark.operators.forecast import hw_configs
+from tidemark.operators.smoothing import hw_configs
 from tidemark.queries.registry import (
     DAY,
     HORIZON,

@@ -67,6 +67,17 @@ def durable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``durable`` wrote once nothing reads them any more; other files are left alone."""
+    for table in tables:
+        spark = table.sparkSession
+        folders = {f.rpartition("/")[0] for f in table.inputFiles()}
+        for folder in folders:
+            if folder.rpartition("/")[2].startswith("step-"):
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
