@@ -119,3 +119,27 @@ def test_components(spark):
             up[max(root(a), root(b))] = min(root(a), root(b))
     got = components(spark.createDataFrame(links, "a long, b long")).collect()
     assert sorted(map(tuple, got)) == sorted((x, root(x)) for x in up)
+
+
+@given(st.sets(st.integers(0, 2**64 - 1), min_size=1, max_size=400), st.data())
+@settings(max_examples=150, deadline=None)
+def test_profiles_never_hide_a_similar_pair(tokens, data):
+    x = np.array(sorted(tokens), np.uint64)
+    gone = data.draw(st.sets(st.integers(0, len(x) - 1), max_size=len(x) // 5))
+    more = data.draw(st.sets(st.integers(0, 2**64 - 1), max_size=len(x) // 5))
+    y = np.unique(np.concatenate([np.delete(x, list(gone)), np.array(sorted(more), np.uint64)]))
+    if len(y) and nj.similar(x, y):
+        assert nj.may_be_similar(nj.profile(x), nj.profile(y), len(x), len(y))
+
+
+def test_profiles_tell_other_sets_apart():
+    rng = np.random.default_rng(1)
+    far = 0
+    for n in (30, 100, 1000, 5000):
+        for _ in range(50):
+            x, y = (np.unique(rng.integers(0, 2**64, n, np.uint64)) for _ in "ab")
+            far += not nj.may_be_similar(nj.profile(x), nj.profile(y), len(x), len(y))
+    assert far > 190
+    # counts that do not fit a byte decide nothing
+    crowded = np.arange(2000, dtype=np.uint64)
+    assert nj.may_be_similar(nj.profile(crowded), nj.profile(crowded[:500]), 2000, 500)

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -277,7 +278,35 @@ def _scanner(rows, rate):
     return run
 
 
-def drop_leaked(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE) -> DataFrame:
-    """Rows of ``docs`` whose doc_id holds no benchmark passage; rows with a null doc_id stay."""
-    leaked = find_leaks(docs, benchmark, rate).select("doc_id").distinct()
-    return docs.join(leaked, "doc_id", "left_anti").select(docs.columns)
+def drop_leaked(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """Rows of ``docs`` whose text holds no benchmark passage; rows with a null doc_id stay.
+
+    Each row is decided where it is read, with all its columns as they are, so no text is shuffled.
+    """
+    for rows in _item_blocks(benchmark, block_chars):
+        docs = docs.mapInArrow(_sieve(rows, rate), docs.schema)
+    return docs
+
+
+def _sieve(rows, rate):
+    built: list = []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not built:
+            built.append(index_items(rows, rate))
+        items = built[0]
+        for batch in batches:
+            clean = np.ones(len(batch), bool)
+            held, size = [], 0
+            ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
+            for k, text in enumerate(texts):
+                if items and text and ids[k].is_valid:
+                    held.append(k)
+                    size += len(text)
+                if held and (size >= SCAN_CHARS or k + 1 == len(texts)):
+                    for t, *_ in find_items(items, [texts[i] for i in held]):
+                        clean[held[t]] = False
+                    held, size = [], 0
+            yield batch.filter(pa.array(clean))
+
+    return run

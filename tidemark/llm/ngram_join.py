@@ -9,9 +9,11 @@ sets there are follows from the document's size class, and documents sign for th
 two similar ones always share a signature.
 
 Classes come from counts over all documents. Signatures travel packed, one row per task block and hash bucket.
-A signature of few documents gives candidate pairs, which are verified on whole shingle sets. Documents of a
-signature with many are only chained to its first one; the families this forms are dealt into blocks of
-bounded size and verified block against block, which gives links without listing pairs.
+A signature of few documents gives candidate pairs. Each is first judged by profiles, the numbers of a set's
+shingles in ranges of the hash: two sets share at most the sum of the smaller numbers, so a pair below the
+bound goes without a look at the sets. Documents of a signature with many are only chained to its first one.
+The families that pairs and chains form are dealt into blocks of bounded size and verified block against
+block on whole sets, so a set travels once per block pair and not once per candidate.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.links import components
-from tidemark.session import durable
+from tidemark.session import discard, durable
 
 WORDS = 5
 #: Similarity in percent.
@@ -37,6 +39,8 @@ TABLE_BITS = 24
 BLOCK_SHINGLES = 2_000_000
 BUCKETS = 32
 FAMILY_BLOCK = 256
+#: Bits of a hash that tell the finest ranges of a profile apart.
+PROFILE_BITS = 12
 
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -80,6 +84,24 @@ def similar(x: np.ndarray, y: np.ndarray) -> bool:
     return 100 * both >= PERCENT * (len(x) + len(y) - both) and both > 0
 
 
+def profile(tokens: np.ndarray) -> bytes:
+    """Numbers of shingles in equal ranges of the hash, as many ranges as shingles (a power of two); the last
+    number of a byte means that many or more."""
+    bits = max(3, min(PROFILE_BITS, len(tokens).bit_length()))
+    counts = np.bincount((tokens >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def may_be_similar(x: bytes, y: bytes, n: int, m: int) -> bool:
+    """Whether sets of n and m shingles with these profiles can share enough of them."""
+    a, b = np.frombuffer(x, np.uint8).astype(np.int64), np.frombuffer(y, np.uint8).astype(np.int64)
+    if a.max() == 255 or b.max() == 255:
+        return True
+    size = min(len(a), len(b))
+    shared = np.minimum(a.reshape(size, -1).sum(axis=1), b.reshape(size, -1).sum(axis=1)).sum()
+    return 100 * shared >= PERCENT * (n + m - shared)
+
+
 def size_class(n: int) -> int:
     """Similar sizes are in the same class or in neighbouring ones."""
     return int(np.floor(np.log(n) / np.log(1.25) + 1e-9))
@@ -183,17 +205,20 @@ def frequent_table(texts: DataFrame, buckets: int) -> np.ndarray:
     return table
 
 
-PACKED = "bucket long, sig binary, doc binary, size binary, doc_id long, first long, n long, digest binary, shingles binary"
+PACKED = (
+    "bucket long, sig binary, doc binary, size binary, "
+    "doc_id long, first long, n long, digest binary, profile binary"
+)
 
 
 def _packed(texts: DataFrame, table: np.ndarray, buckets: int) -> DataFrame:
-    """Three kinds of rows: packed signatures, one row per document, and the sets of those rich in frequent ones."""
+    """Two kinds of rows: packed signatures, and one row per document."""
     shared = texts.sparkSession.sparkContext.broadcast(np.packbits(table))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(shared.value).astype(bool)
         names = [c.split()[0] for c in PACKED.split(", ")]
-        kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), *[pa.int64()] * 3, pa.binary(), pa.binary()]
+        kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), *[pa.int64()] * 3, *[pa.binary()] * 2]
 
         def batch_of(**columns) -> pa.RecordBatch:
             n = len(next(iter(columns.values())))
@@ -202,7 +227,7 @@ def _packed(texts: DataFrame, table: np.ndarray, buckets: int) -> DataFrame:
 
         for ids, sets in _documents(batches):
             firsts, digests = _first_of_copies(ids, sets)
-            sigs, docs, sizes, hot = [], [], [], []
+            sigs, docs, sizes = [], [], []
             for k, s in enumerate(sets):
                 if firsts[k] != k or ids[k] is None or not len(s):
                     continue
@@ -211,12 +236,9 @@ def _packed(texts: DataFrame, table: np.ndarray, buckets: int) -> DataFrame:
                 sigs.append(sig)
                 docs.append(np.full(len(sig), ids[k], np.int64))
                 sizes.append(np.full(len(sig), len(s), np.int32))
-                if len(s) - frequent.sum() < spare(len(s)) + 1:
-                    hot.append(k)
             own = {"doc_id": ids, "first": [ids[f] for f in firsts], "n": [len(s) for s in sets], "digest": digests}
+            own["profile"] = [profile(s) if firsts[k] == k and len(s) else None for k, s in enumerate(sets)]
             yield batch_of(**own)
-            if hot:
-                yield batch_of(doc_id=[ids[k] for k in hot], shingles=[sets[k].tobytes() for k in hot])
             if sigs:
                 h = np.concatenate(sigs)
                 found, cols = _split(_bucket(h, buckets), h.astype(np.uint32), np.concatenate(docs), np.concatenate(sizes))
@@ -290,66 +312,82 @@ def _with_sets(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     return texts.join(nodes, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "doc_id long, shingles binary")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` whose sets are similar."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
+def _judged(pairs: DataFrame, own: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` whose profiles leave room for enough shared shingles; none that links is lost."""
+    # an id with several texts stands with each of them
+    known = own.filter("profile is not null").select("doc_id", "profile", "n").distinct()
+    left = known.select(F.col("doc_id").alias("a"), F.col("profile").alias("x"), F.col("n").alias("nx"))
+    right = known.select(F.col("doc_id").alias("b"), F.col("profile").alias("y"), F.col("n").alias("ny"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
-            near = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in pairs]
+            rows = zip(*(batch.column(k).to_pylist() for k in range(2, 6)))
+            near = [may_be_similar(x, y, n, m) for x, y, n, m in rows]
             yield batch.select([0, 1]).filter(pa.array(near, pa.bool_()))
 
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y", "nx", "ny")
     return joined.mapInArrow(run, "a long, b long")
 
 
-def _family_links(chains: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links within families: every pair of a family is compared, in blocks, and a spanning set is returned."""
-    family = components(chains).select(F.col("node").alias("doc_id"), "component")
+def _family_links(family: DataFrame, sets: DataFrame, deals: int) -> DataFrame:
+    """Links within families (``doc_id, component``): every pair of a family is compared, in blocks, and a
+    spanning set is returned."""
     sizes = family.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / FAMILY_BLOCK).cast("int").alias("blocks"))
     placed = (
         family.join(sizes, "component")
         .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
         .join(sets, "doc_id")
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("component", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "doc_id", "shingles")
+        .select("component", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "blocks", "doc_id", "shingles")
     )
+    # families of one block share groups, so that many small ones cost few of them
+    small = F.pmod(F.xxhash64("component"), F.lit(deals))
+    placed = placed.withColumn("deal", F.when(F.col("blocks") == 1, small).otherwise(F.xxhash64("component", "p", "q")))
 
     def compare(table: pa.Table) -> pa.Table:
-        ids = np.array(table["doc_id"].to_pylist(), np.int64)
+        ids, component, p, q = (np.array(table[c].to_pylist(), np.int64) for c in ("doc_id", "component", "p", "q"))
         sets = [np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()]
-        tokens, place = np.unique(np.concatenate(sets), return_inverse=True)
-        size = np.array([len(s) for s in sets])
-        row = np.repeat(np.arange(len(sets)), size)
-        shared = np.zeros((len(sets), len(sets)), np.float32)
-        # incidence matrix in strips, so it stays small for long documents
-        strip = max(256, 20_000_000 // len(sets))
-        for k in range(0, len(tokens), strip):
-            inside = (place >= k) & (place < k + strip)
-            part = np.zeros((len(sets), min(strip, len(tokens) - k)), np.float32)
-            part[row[inside], place[inside] - k] = 1
-            shared += part @ part.T
-        both = shared.astype(np.int64)
-        near = 100 * both >= PERCENT * (size[:, None] + size[None, :] - both)
-        # one link for each document that joins a cluster
+        order = np.lexsort((q, p, component))
+        key = np.stack([component, p, q])[:, order]
+        starts = np.flatnonzero(np.append(True, (np.diff(key) != 0).any(axis=0)))
         left, right = [], []
-        open_ = np.ones(len(sets), bool)
-        for start in range(len(sets)):
-            if open_[start]:
-                open_[start] = False
-                queue = [start]
-                while queue:
-                    u = queue.pop()
-                    fresh = np.flatnonzero(near[u] & open_)
-                    open_[fresh] = False
-                    left += [ids[u]] * len(fresh)
-                    right += ids[fresh].tolist()
-                    queue += fresh.tolist()
+        for rows in np.split(order, starts[1:]):
+            x, y = _spanning(ids[rows], [sets[k] for k in rows])
+            left += x
+            right += y
         return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
 
-    return placed.groupBy("component", "p", "q").applyInArrow(compare, "a long, b long")
+    return placed.groupBy("deal").applyInArrow(compare, "a long, b long")
+
+
+def _spanning(ids: np.ndarray, sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
+    """One link for each document that joins a cluster of similar ones."""
+    tokens, place = np.unique(np.concatenate(sets), return_inverse=True)
+    size = np.array([len(s) for s in sets])
+    row = np.repeat(np.arange(len(sets)), size)
+    both = np.zeros((len(sets), len(sets)), np.int64)
+    # incidence matrix in strips, so it stays small for long documents
+    strip = max(256, 20_000_000 // len(sets))
+    for k in range(0, len(tokens), strip):
+        inside = (place >= k) & (place < k + strip)
+        part = np.zeros((len(sets), min(strip, len(tokens) - k)), np.float32)
+        part[row[inside], place[inside] - k] = 1
+        both += (part @ part.T).astype(np.int64)
+    near = 100 * both >= PERCENT * (size[:, None] + size[None, :] - both)
+    left, right = [], []
+    open_ = np.ones(len(sets), bool)
+    for start in range(len(sets)):
+        if open_[start]:
+            open_[start] = False
+            queue = [start]
+            while queue:
+                u = queue.pop()
+                fresh = np.flatnonzero(near[u] & open_)
+                open_[fresh] = False
+                left += [int(ids[u])] * len(fresh)
+                right += ids[fresh].tolist()
+                queue += fresh.tolist()
+    return left, right
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -364,20 +402,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     packed = durable(_packed(texts, frequent_table(texts, buckets), buckets))
-    own = packed.filter("n is not null").select("doc_id", "first", "n", "digest")
+    own = durable(packed.filter("n is not null").select("doc_id", "first", "n", "digest", "profile"))
     copies = _copies(own)
     found = durable(_of_representatives(_candidates(packed), copies))
-    pairs = found.filter("not chained").select("a", "b")
-    nodes = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    links = durable(_verified(pairs, durable(_with_sets(texts, nodes))))
-    hot = packed.filter("shingles is not null").select("doc_id", "shingles")
-    chains = found.filter("chained").select("a", "b")
-    # a signature can be shared by many although its shingle is rare by count: then sets come from the texts
-    missing = chains.select(F.col("a").alias("doc_id")).union(chains.select("b")).distinct().join(hot, "doc_id", "left_anti")
-    sets = hot.union(_with_sets(texts, missing))
+    discard(packed)
+    pairs = durable(_judged(found.filter("not chained").select("a", "b"), own))
+    # pairs and chains form families apart, so that a frequent signature does not tie small families together
+    near = components(pairs).select(F.col("node").alias("doc_id"), "component")
+    often = components(found.filter("chained").select("a", "b")).select(F.col("node").alias("doc_id"), "component")
+    near, often = durable(near), durable(often)
+    nodes = near.select("doc_id").union(often.select("doc_id")).distinct()
+    sets = durable(_with_sets(texts, durable(nodes)))
+    links = durable(_family_links(near, sets, buckets // 4).union(_family_links(often, sets, buckets // 4)))
+    discard(sets, pairs, found)
+    own = own.drop("profile")
     twins = own.filter("first <> doc_id").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
     twins = twins.union(copies.filter("doc_id <> same").select("doc_id", "same"))
-    every = links.union(_family_links(chains, sets)).union(twins)
+    every = links.union(twins)
     linked = components(every)
     return own.join(linked, own.doc_id == linked.node, "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
