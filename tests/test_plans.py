@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.clean import interpolate, onto_grid, regular_grid
 from tidemark.operators.correlation import pearson_matrix, spearman_matrix
-from tidemark.plans import order
 from tidemark.plans.chunks import over_halo, running_sum
 from tidemark.plans.gram import gram, matrix, packed, solve
 from tidemark.plans.lookup import attach
@@ -37,19 +36,17 @@ def by_group(df, col):
     return df.set_index("g")[col].to_dict()
 
 
-@pytest.mark.parametrize("limit", [10, 10_000])
-def test_quantiles_match_pandas(spark, skewed, limit):
+def test_quantiles_match_pandas(spark, skewed):
     got = quantiles(
-        spark.createDataFrame(skewed), ["g"], "v", {"q1": 0.25, "med": 0.5, "q9": 0.9}, limit
+        spark.createDataFrame(skewed), ["g"], "v", {"q1": 0.25, "med": 0.5, "q9": 0.9}
     ).toPandas()
     for name, q in {"q1": 0.25, "med": 0.5, "q9": 0.9}.items():
         want = skewed.groupby("g")["v"].quantile(q).to_dict()
         assert by_group(got, name) == pytest.approx(want)
 
 
-@pytest.mark.parametrize("limit", [10, 10_000])
-def test_positions_are_row_numbers(spark, skewed, limit):
-    got = positions(spark.createDataFrame(skewed), ["g"], ["v", "id"], "p", limit).toPandas()
+def test_positions_are_row_numbers(spark, skewed):
+    got = positions(spark.createDataFrame(skewed), ["g"], ["v", "id"], "p").toPandas()
     want = skewed.sort_values(["g", "v", "id"]).copy()
     want["p"] = want.groupby("g").cumcount()
     merged = got.merge(want, on=["g", "id"])
@@ -57,28 +54,37 @@ def test_positions_are_row_numbers(spark, skewed, limit):
     assert (merged["p_x"] == merged["p_y"]).all()
 
 
-@pytest.mark.parametrize("limit", [10, 10_000])
-def test_average_ranks_with_ties(spark, skewed, limit):
+def test_average_ranks_with_ties(spark, skewed):
     counts = value_counts(spark.createDataFrame(skewed), ["g"], "v")
-    got = average_ranks(counts, ["g"], "v", limit=limit).toPandas()
+    got = average_ranks(counts, ["g"], "v").toPandas()
     want = skewed.assign(rank=skewed.groupby("g")["v"].rank()).drop_duplicates(["g", "v"])
     merged = got.merge(want, on=["g", "v"])
     assert len(merged) == len(got) == len(want)
     assert np.allclose(merged["rank_x"], merged["rank_y"])
 
 
-def test_many_buckets_use_both_search_levels(spark):
-    pdf = pd.DataFrame({"g": "a", "v": np.arange(2000.0)})
-    counts = value_counts(spark.createDataFrame(pdf), ["g"], "v")
-    got = running_counts(counts, ["g"], "v", limit=5).toPandas()
-    assert (got["_before"] == got["v"]).all()
-
-
-@pytest.mark.parametrize("limit", [10, 10_000])
-def test_over_rows_lag(spark, skewed, limit):
+def test_running_counts_over_all_digits(spark):
+    """Values that differ in every digit of their keys, with signs, infinities and whole numbers."""
+    rng = np.random.default_rng(2)
+    real = np.unique(np.concatenate([np.arange(-500.0, 500), rng.normal(size=500) * 10.0 ** rng.integers(-300, 300, 500), [np.inf, -np.inf, 5e-324]]))
+    whole = np.unique(rng.integers(-(2**62), 2**62, 300)).tolist() + [2**62, 2**62 + 1]
+    for values, kind in ((real.tolist(), "double"), (whole, "bigint")):
+        rows = [(g, v, w) for g in ("a", None) for v, w in zip(values, rng.integers(1, 9, len(values)).tolist())]
+        counts = spark.createDataFrame(rows, f"g string, v {kind}, _w bigint")
+        got = {(r.g, r.v): (r._before, r.total) for r in running_counts(counts, ["g"], "v", total="total").collect()}
+        for g in ("a", None):
+            before, mine = 0, sorted((v, w) for k, v, w in rows if k == g)
+            for v, w in mine:
+                assert got[g, v] == (before, sum(x for _, x in mine))
+                before += w
+    with pytest.raises(TypeError):
+        running_counts(spark.createDataFrame([("x", 1)], "v string, _w bigint"), [], "v")
+
+
+def test_over_rows_lag(spark, skewed):
     sdf = spark.createDataFrame(skewed)
     got = over_rows(
-        sdf, ["g"], ["v", "id"], lambda w: {"prev": F.lag("id").over(w)}, before=1, limit=limit
+        sdf, ["g"], ["v", "id"], lambda w: {"prev": F.lag("id").over(w)}, before=1
     ).toPandas()
     want = skewed.sort_values(["g", "v", "id"]).copy()
     want["prev"] = want.groupby("g")["id"].shift()
@@ -178,9 +184,7 @@ def test_gram_solves_least_squares(spark):
         assert ssr == pytest.approx(((part["y"] - part[["one", "x"]] @ want) ** 2).sum())
 
 
-@pytest.mark.parametrize("limit", [7, 1_000_000])
-def test_correlations_match_pandas(spark, monkeypatch, limit):
-    monkeypatch.setattr(order, "HOT_ROWS", limit)
+def test_correlations_match_pandas(spark):
     rng = np.random.default_rng(8)
     pdf = pd.DataFrame(rng.normal(size=(60, 3)).round(1), columns=["a", "b", "c"])
     pdf["b"] += pdf["a"]
@@ -201,6 +205,48 @@ def test_correlations_match_pandas(spark, monkeypatch, limit):
     check(cells(spearman_matrix(sdf, names)), gaps.corr("spearman"))
     check(cells(spearman_matrix(sdf, names, "listwise")), gaps.dropna().corr("spearman"))
     check(cells(spearman_matrix(spark.createDataFrame(pdf), names)), pdf.corr("spearman"))
+    row = cells(spearman_matrix(sdf, names, target="b"))
+    assert set(row) == {(x, y) for x in names for y in names if "b" in (x, y)}
+    for (x, y), r in row.items():
+        assert r == pytest.approx(gaps.corr("spearman").loc[x, y])
+
+
+def test_many_columns_are_ranked_once_per_null_pattern(spark):
+    """80 columns with two patterns of gaps: rows are copied per pair of patterns, not per pair of columns."""
+    rng = np.random.default_rng(9)
+    pdf = pd.DataFrame(rng.normal(size=(60, 80)).round(1), columns=[f"c{i}" for i in range(80)])
+    for c in pdf.columns[50:]:
+        pdf.loc[pdf.index % 5 == 1, c] = np.nan
+    rows = [tuple(None if pd.isna(x) else float(x) for x in r) for r in pdf.itertuples(index=False)]
+    sdf = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in pdf.columns))
+    from tidemark.operators.correlation import _patterns
+
+    assert [len(g) for g in _patterns(sdf, pdf.columns)] == [50, 30]
+    want = pdf.corr("spearman")
+    got = {(r.x, r.y): r.r for r in spearman_matrix(sdf, list(pdf.columns)).collect()}
+    assert len(got) == 6400
+    assert all(r == pytest.approx(want.loc[x, y]) for (x, y), r in got.items())
+
+
+def test_constant_and_empty_columns_have_no_correlation(spark):
+    sdf = spark.createDataFrame([(float(i), 7.3, None) for i in range(9)], "a double, k double, e double")
+    for matrix_of in (pearson_matrix, spearman_matrix):
+        got = {(r.x, r.y): (r.r, r.n) for r in matrix_of(sdf, ["a", "k", "e"]).collect()}
+        assert got["a", "a"] == (1.0, 9) and got["a", "k"] == (None, 9)
+        assert got.get(("a", "e"), (None, 0)) == (None, 0)
+
+
+def test_lookup_by_counted_keys_repeats_nothing(spark, skewed):
+    from tidemark.plans.lookup import attach_counted
+
+    sdf = spark.createDataFrame([(g if g != "one" else None, i) for g, i in zip(skewed.g, skewed.id)], "g string, id bigint")
+    table = sdf.groupBy("g").agg(F.count(F.lit(1)).alias("_w"), F.max("id").alias("top"))
+    for heavy in (1, 2, 1000):  # no key, one key and every key heavy
+        got = attach_counted(sdf, table, ["g"], "_w", heavy)
+        assert sorted(r.id for r in got.collect()) == list(range(321))
+        assert {(r.g, r.top) for r in got.collect()} == {("hot", 299), ("small", 319), (None, 320)}
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate" not in plan  # nothing is exploded
 
 
 def test_null_keys_meet_in_lookups(spark):

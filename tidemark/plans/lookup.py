@@ -64,6 +64,24 @@ def attach(
     return null_safe_join(left, right, [*keys, "_salt"], how).drop("_salt")
 
 
+def attach_counted(
+    df: DataFrame, table: DataFrame, keys: Sequence[str], weight: str, heavy_keys: int = 1000
+) -> DataFrame:
+    """Inner join of rows with a table that holds in ``weight`` how many rows each key has (null keys too).
+
+    A key with more than 1/``heavy_keys`` of all rows is heavy, so there are at most that many of them: they
+    are broadcast and their rows stay where they are. The other keys join once, with nothing repeated.
+    ``df`` is read twice; pass a stored table where it is costly.
+    """
+    keys = list(keys)
+    limit = table.select(F.sum(weight) / F.lit(heavy_keys)).scalar()
+    heavy = table.filter(F.col(weight) > limit)
+    known = F.broadcast(heavy)
+    rest = null_safe_join(df, F.broadcast(heavy.select(*keys)), keys, "left_anti")
+    light = null_safe_join(rest, table.filter(F.col(weight) <= limit), keys)
+    return null_safe_join(df, known, keys).unionByName(light)
+
+
 def attach_agg(
     df: DataFrame,
     keys: Sequence[str],

@@ -1,115 +1,83 @@
-"""Exact order statistics, ranks and row positions that survive a hot group.
+"""Exact order statistics, ranks and row positions on one path, whatever the size or skew of a group.
 
-Every function first asks (with one aggregate over the key columns) whether any group holds more
-rows than one task should sort. If none does, Spark's own window / ``percentile`` is used. If one
-does, values are pre-aggregated to ``(group, value, count)`` and cut into buckets along
-approximate quantiles; each bucket is sorted on its own and earlier buckets only contribute a
-count. Bucket bounds steer the work split, never the result.
+Values are merged to ``(group, value, count)`` and mapped to 64-bit integers in the same order. Their digits
+form a tree of counts: the values below one are those under smaller first digits, plus those under the same
+first and a smaller second digit, and so on. Every sum runs over the digits under one node, of which there are
+at most as many as digit values, so no task sorts a group.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.plans.chunks import over_halo
-from tidemark.plans.lookup import attach
 from tidemark.session import durable
 
-HOT_ROWS = 1_000_000
-MAX_BUCKETS = 4096
-_BLOCK = 64
-
-
-def hot_groups(df: DataFrame, keys: Sequence[str], limit: float) -> DataFrame | None:
-    """Groups with more than ``limit`` rows as a durable table, or None when there is none.
-
-    A caller that already knows an upper bound passes an infinite limit and saves the pass."""
-    if limit == math.inf:
-        return None
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    hot = sizes.filter(F.col("_n") > limit)
-    if hot.isEmpty():
-        return None
-    return durable(hot)
-
-
-def _sortable(df: DataFrame, col: str) -> Column:
-    dtype = dict(df.dtypes)[col]
-    if dtype.startswith("timestamp"):
-        return F.unix_micros(F.col(col).cast("timestamp"))
-    if dtype == "date":
-        return F.datediff(F.col(col), F.lit("1970-01-01").cast("date"))
-    return F.col(col)
-
-
-def _bucketed(
-    df: DataFrame, keys: Sequence[str], col: str, hot: DataFrame, limit: int
-) -> DataFrame:
-    """Add ``_bucket``: which slice of its group's value range a row belongs to."""
-    keys = list(keys)
-    rows = df.withColumn("_key", _sortable(df, col))
-    points = [i / MAX_BUCKETS for i in range(1, MAX_BUCKETS)]
-    cuts = (
-        attach(rows.select(*keys, "_key"), hot, keys, ["_key"], how="inner")
-        .groupBy(*keys)
-        .agg(F.percentile_approx("_key", points, 20000).alias("_cuts"), F.max("_n").alias("_n"))
-    )
-    stride = F.greatest(F.lit(1), F.floor(F.lit(MAX_BUCKETS * limit) / F.col("_n"))).cast("int")
-    cuts = cuts.withColumn("_stride", stride).select(
-        *keys,
-        F.expr("array_distinct(filter(_cuts, (x, i) -> (i + 1) % _stride = 0))").alias("_cuts"),
-    )
-    # The bounds must be the same wherever they are used, also after a lost executor.
-    cuts = durable(cuts)
-    rows = attach(rows, cuts, keys, ["_key"])
-    coarse = F.expr(
-        f"size(filter(_cuts, (x, i) -> i % {_BLOCK} = {_BLOCK - 1} and x < _key))"
-    )
-    rows = rows.withColumn("_c", F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(coarse))
-    fine = F.expr(f"size(filter(slice(_cuts, _c * {_BLOCK} + 1, {_BLOCK}), x -> x < _key))")
-    bucket = F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(F.col("_c") * _BLOCK + fine)
-    return rows.withColumn("_bucket", bucket).drop("_c", "_cuts", "_key")
+#: Bits of the three digits of a key, the first signed.
+DIGITS = (22, 21, 21)
+_BEFORE = (Window.unboundedPreceding, -1)
+
+
+def order_key(df: DataFrame, col: str) -> Column:
+    """A long that orders like ``col``: numbers (decimals by their double), times and dates."""
+    dtype, c = df.schema[col].dataType, F.col(col)
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(c.cast("timestamp"))
+    if isinstance(dtype, T.DateType):
+        return F.datediff(c, F.lit("1970-01-01").cast("date")).cast("long")
+    if isinstance(dtype, T.IntegralType):
+        return c.cast("long")
+    if not isinstance(dtype, (T.DoubleType, T.FloatType, T.DecimalType)):
+        raise TypeError(f"no order key for {dtype.simpleString()}")
+    # adding zero makes -0.0 and 0.0 one value, as a grouping does
+    bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), c.cast("double") + F.lit(0.0))
+    bits = bits.cast("long")
+    return F.when(bits < 0, bits.bitwiseXOR(F.lit((1 << 63) - 1))).otherwise(bits)
+
+
+def _digits(key: Column) -> list[Column]:
+    _, middle, low = DIGITS
+    return [
+        F.shiftright(key, middle + low),
+        F.shiftright(key, low).bitwiseAND(F.lit((1 << middle) - 1)),
+        key.bitwiseAND(F.lit((1 << low) - 1)),
+    ]
 
 
 def running_counts(
-    counts: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    weight: str = "_w",
-    limit: float | None = None,
+    counts: DataFrame, keys: Sequence[str], value: str, weight: str = "_w", total: str | None = None
 ) -> DataFrame:
-    """Per distinct value add ``_before``: total weight of smaller values of the same group.
+    """Per distinct value add ``_before``: total weight of smaller values of the same group, and with
+    ``total`` a column of that name with the group's whole weight.
 
-    ``counts`` holds one row per (keys, value).
+    ``counts`` holds one row per (keys, value), no value null.
     """
     keys = list(keys)
-    limit = HOT_ROWS if limit is None else limit
-    hot = hot_groups(counts, keys, limit)
-    before = (Window.unboundedPreceding, -1)
-    if hot is None:
-        w = Window.partitionBy(*keys).orderBy(value).rowsBetween(*before)
-        return counts.withColumn("_before", F.coalesce(F.sum(weight).over(w), F.lit(0)))
-    rows = _bucketed(counts, keys, value, hot, limit)
-    totals = rows.groupBy(*keys, "_bucket").agg(F.sum(weight).alias("_t"))
-    offsets = totals.select(
-        *keys,
-        "_bucket",
-        F.coalesce(
-            F.sum("_t").over(Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(*before)),
-            F.lit(0),
-        ).alias("_offset"),
-    )
-    w = Window.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(*before)
-    return (
-        rows.withColumn("_inside", F.coalesce(F.sum(weight).over(w), F.lit(0)))
-        .join(offsets, [*keys, "_bucket"])
-        .withColumn("_before", F.col("_inside") + F.col("_offset"))
-        .drop("_bucket", "_inside", "_offset")
-    )
+    names = ["_d1", "_d2", "_d3"]
+    rows = counts.select("*", *[d.alias(n) for n, d in zip(names, _digits(order_key(counts, value)))])
+    tables = [rows]
+    for k in (2, 1):
+        tables.append(tables[-1].groupBy(*keys, *names[:k]).agg(F.sum(weight).alias(weight)))
+    # from the top down: what stands before a node enters its children's window as their first row
+    done = None
+    for k, table in enumerate(reversed(tables)):
+        node, digit = [*keys, *names[:k]], names[k]
+        ordered = Window.partitionBy(*node).orderBy(F.col(digit).asc_nulls_first())
+        if done is None:
+            size = F.sum(weight).over(Window.partitionBy(*node))
+        else:
+            heads = done.select(*node, F.col("_before").alias(weight), "_size")
+            table = table.unionByName(heads, allowMissingColumns=True)
+            size = F.first("_size").over(ordered)
+        kept = [c for c in table.columns if c != "_size"]
+        before = F.coalesce(F.sum(weight).over(ordered.rowsBetween(*_BEFORE)), F.lit(0))
+        done = table.select(*kept, before.cast("long").alias("_before"), size.cast("long").alias("_size"))
+        done = done.filter(F.col(digit).isNotNull())
+    return done.select(*counts.columns, "_before", *([F.col("_size").alias(total)] if total else []))
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -120,74 +88,43 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     )
 
 
-def positions(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    out: str = "pos",
-    limit: float | None = None,
-) -> DataFrame:
-    """0-based row position of each row inside its group, ordered by ``order`` (unique per row)."""
+def positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "pos") -> DataFrame:
+    """0-based row position of each row inside its group, ordered by ``order`` (unique per row).
+
+    Rows are dealt by ranges of keys and order, so a large group is many tasks; each counts its own rows
+    and starts at the count of the ranges before it.
+    """
     keys, order = list(keys), list(order)
-    limit = HOT_ROWS if limit is None else limit
-    if hot_groups(df, keys, limit) is None:
-        w = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumn(out, (F.row_number().over(w) - 1).cast("bigint"))
-    first, rest = order[0], order[1:]
-    starts = running_counts(
-        df.groupBy(*keys, first).agg(F.count(F.lit(1)).alias("_w")), keys, first, limit=limit
-    ).select(*keys, first, F.col("_before").alias(f"_start_{first}"))
-    rows = attach(df, starts, [*keys, first], rest or [first])
-    tie = f"_tie_{len(order)}"
-    if rest:
-        rows = positions(rows, [*keys, first], rest, tie, limit)
-    else:
-        rows = rows.withColumn(tie, F.lit(0))
-    return rows.withColumn(out, (F.col(f"_start_{first}") + F.col(tie)).cast("bigint")).drop(
-        f"_start_{first}", tie
+    cut = df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id())
+    cut = durable(cut)
+    sizes = cut.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_w"))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(*_BEFORE)
+    starts = sizes.select(
+        *keys, "_part", F.coalesce(F.sum("_w").over(earlier), F.lit(0)).alias("_w"), F.lit(0).alias("_kind")
     )
+    rows = cut.select("*", F.lit(1).cast("long").alias("_w"), F.lit(1).alias("_kind"))
+    both = rows.unionByName(starts, allowMissingColumns=True)
+    inside = Window.partitionBy(*keys, "_part").orderBy("_kind", *order).rowsBetween(*_BEFORE)
+    placed = both.select("*", F.sum("_w").over(inside).cast("bigint").alias("_place")).filter("_kind = 1")
+    return placed.select(*df.columns, F.col("_place").alias(out))
 
 
-def over_rows(df, keys, order, make, before=0, after=0, limit=None):
+def over_rows(df, keys, order, make, before=0, after=0):
     """Like ``over_halo`` for rows without a grid position (irregular snapshots)."""
-    keys, order = list(keys), list(order)
-    limit = HOT_ROWS if limit is None else limit
-    if hot_groups(df, keys, limit) is None:
-        added = make(Window.partitionBy(*keys).orderBy(*order))
-        keep = [c for c in df.columns if c not in added]
-        return df.select(*keep, *[v.alias(k) for k, v in added.items()])
-    placed = positions(df, keys, order, "_pos", limit)
-    return over_halo(placed, keys, "_pos", make, before, after).drop("_pos")
+    placed = positions(df, list(keys), list(order), "_pos")
+    return over_halo(placed, list(keys), "_pos", make, before, after).drop("_pos")
 
 
-def average_ranks(
-    counts: DataFrame, keys: Sequence[str], value: str, out: str = "rank", limit: float | None = None
-) -> DataFrame:
+def average_ranks(counts: DataFrame, keys: Sequence[str], value: str, out: str = "rank") -> DataFrame:
     """Average rank (1-based, ties share their mean rank) of each distinct value."""
-    ranked = running_counts(counts, keys, value, limit=limit)
+    ranked = running_counts(counts, keys, value)
     return ranked.withColumn(out, F.col("_before") + (F.col("_w") + 1) / 2.0).drop("_before")
 
 
-def quantiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    qs: dict[str, float],
-    limit: float | None = None,
-) -> DataFrame:
+def quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: dict[str, float]) -> DataFrame:
     """Exact linear-interpolated quantiles; one column per entry of ``qs``."""
-    keys = list(keys)
-    limit = HOT_ROWS if limit is None else limit
-    known = df.filter(F.col(value).isNotNull())
-    names = list(qs)
-    if hot_groups(known, keys, limit) is None:
-        ps = F.array(*[F.lit(float(qs[q])) for q in names])
-        agg = known.groupBy(*keys).agg(F.percentile(value, ps).alias("_q"))
-        return agg.select(*keys, *[F.col("_q")[i].alias(q) for i, q in enumerate(names)])
-    counts = value_counts(known, keys, value)
-    ranked = running_counts(counts, keys, value, limit=limit)
-    sizes = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
-    rows = attach(ranked, sizes, keys, [value])
+    keys, names = list(keys), list(qs)
+    rows = running_counts(value_counts(df.select(*keys, value), keys, value), keys, value, total="_size")
     aggs: list[Column] = []
     hits = F.lit(False)
     for q in names:
@@ -197,10 +134,12 @@ def quantiles(
             hit = (F.col("_before") <= idx) & (idx < end)
             hits = hits | hit
             aggs.append(F.max(F.when(hit, F.col(value))).alias(f"_{side}_{q}"))
-    found = rows.filter(hits).groupBy(*keys).agg(F.max("_size").alias("_size"), *aggs)
+    found = rows.filter(hits)
+    aggs.append(F.max("_size").alias("_size"))
+    found = found.groupBy(*keys).agg(*aggs) if keys else found.agg(*aggs)
     out = []
     for q in names:
         at = F.lit(float(qs[q])) * (F.col("_size") - 1)
-        lo, hi = F.col(f"_lo_{q}"), F.col(f"_hi_{q}")
+        lo, hi = F.col(f"_lo_{q}").cast("double"), F.col(f"_hi_{q}").cast("double")
         out.append((lo + (hi - lo) * (at - F.floor(at))).alias(q))
     return found.select(*keys, *out)
