@@ -41,9 +41,16 @@ def bin_start(name: Column) -> Column:
     return F.element_at(F.split(name, "_"), -2).cast("double")
 
 
+def parse_pairs(text: Column) -> Column:
+    """JSON text ``[[fee, count], ...]`` to an array of pairs; an entry that is no list of numbers becomes null,
+    a text that is no list becomes a null array."""
+    entries = F.from_json(text, "array<string>")
+    return F.transform(entries, lambda e: F.from_json(e, "array<double>"))
+
+
 def pair_histogram(pairs: Column) -> Column:
-    """``[[fee, count], ...]`` to a map label -> total count, malformed pairs skipped."""
-    good = F.filter(pairs, lambda p: (F.size(p) == 2) & (p[0] >= 1))
+    """``[[fee, count], ...]`` to a map label -> total count, malformed pairs skipped; null stays null."""
+    good = F.filter(pairs, lambda p: (F.size(p) == 2) & (p[0] >= 1) & p[1].isNotNull())
     labelled = F.transform(
         good, lambda p: F.struct(bin_label(p[0]).alias("label"), p[1].alias("count"))
     )

@@ -159,7 +159,7 @@ def _shape(config: dict):
     return config["n_changepoints"], config["changepoint_range"]
 
 
-def additive_forecast(
+def additive_fit(
     df: DataFrame,
     folds: DataFrame,
     keys: Sequence[str],
@@ -170,12 +170,12 @@ def additive_forecast(
     terms: dict[str, tuple[float, int]] | None = None,
     chunk: int = CHUNK,
 ) -> DataFrame:
-    """Forecasts per (series, fold, config_id) for all ``configs``.
+    """Fitted models per (series, fold, config_id) for all ``configs``: ``knots``, ``trend`` and ``season``.
 
     The target is log1p of the value. ``additive`` adds trend, season and event effect, ``multiplicative``
     lets season and event scale the trend; both are ridge fits with the configuration's priors. Spikes
     (above the 0.9 quantile of a series' history before its last cut-off) are an event regressor, which is
-    0 in the future. Rows without a value count in no sum; a fold without a training row has no forecast.
+    0 in the future. Rows without a value count in no sum; a fold without a training row has no model.
     """
     keys, design = list(keys), _Design(terms or SEASONAL_TERMS)
     by = [*keys, "fold"]
@@ -200,42 +200,83 @@ def additive_forecast(
     width = max(256, min(chunk, CHUNK_NUMBERS // design.size))
     sums = sums_before(rows, keys, pos, ["_v", "_day", "_event"], marks, design.terms, design.size, 0, width)
     met = at_marks(marks, keys, durable(sums), {"_s": "x"})
-    tests = fold_tests(df, folds, keys, pos, chunk).select(*by, F.col(pos).alias("_p"), days(ts).alias("_day"))
+    columns = [*by, "config_id", "train_start", "train_end", "mode", "knots", "trend", "season"]
 
-    def run(key, fit: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
-        names = [*by, "config_id", pos, "y_pred"]
-        if fit.empty or ask.empty:
-            return pd.DataFrame(columns=names)
+    def run(key: tuple, fit: pd.DataFrame) -> pd.DataFrame:
         fit = fit.sort_values("_c")
         first, last = int(fit["train_start"].iloc[0]), int(fit["train_end"].iloc[0])
         whole = _Moments(design, np.vstack(fit["_s"].to_list()), first, last - first)
-        if whole.powers[0][0, 0] <= 0:
-            return pd.DataFrame(columns=names)
-        at, ask = fit["_c"].to_numpy(), ask.sort_values("_p")
-        t = (ask["_p"].to_numpy() - first) / (last - first)
-        base = design.base(ask["_day"].to_numpy(dtype="float64"), np.zeros(len(ask)))[:, 1:]
         out = []
-        for shape, members in groupby(configs, key=_shape):
+        at = fit["_c"].to_numpy()
+        for shape, members in groupby(configs if whole.powers[0][0, 0] > 0 else [], key=_shape):
             knots = shapes[shape]
             m = whole.pick(np.searchsorted(at, knots))
-            columns = np.column_stack([np.ones(len(t)), np.maximum(0.0, t[:, None] - knots)])
             for c in members:
                 trend = np.full(len(knots) + 1, 1.0 / c["changepoint_prior_scale"])
                 trend[:2] = FREE
-                additive = c["seasonality_mode"] == "additive"
-                solve = _fit_additive if additive else _fit_multiplicative
+                solve = _fit_additive if c["seasonality_mode"] == "additive" else _fit_multiplicative
                 beta, gamma = solve(m, knots, trend, 1.0 / c["seasonality_prior_scale"] ** 2)
-                told = columns @ beta + base @ gamma if additive else (columns @ beta) * (1 + base @ gamma)
-                with np.errstate(over="ignore"):
-                    told = np.expm1(told)
-                out.append(pd.DataFrame({"config_id": c["config_id"], pos: ask["_p"].to_numpy(), "y_pred": told}))
+                known = [None if pd.isna(k) else k for k in key]
+                out.append((*known, c["config_id"], first, last, c["seasonality_mode"], knots.tolist(), beta.tolist(), gamma.tolist()))
+        return pd.DataFrame(out, columns=columns)
+
+    ddl = (
+        f"{key_ddl(df, keys)}, fold int, config_id int, train_start bigint, train_end bigint, mode string, "
+        "knots array<double>, trend array<double>, season array<double>"
+    )
+    return met.groupBy(*by).applyInPandas(run, ddl)
+
+
+def additive_predict(
+    states: DataFrame,
+    rows: DataFrame,
+    keys: Sequence[str],
+    pos: str,
+    ts: str,
+    terms: dict[str, tuple[float, int]] | None = None,
+) -> DataFrame:
+    """``(keys, fold, config_id, pos, y_pred)`` of fitted models for ``rows`` (keys, fold, pos, ts)."""
+    keys, design = list(keys), _Design(terms or SEASONAL_TERMS)
+    by = [*keys, "fold"]
+    names = [*by, "config_id", pos, "y_pred"]
+    asked = rows.select(*by, F.col(pos).alias("_p"), days(ts).alias("_day"))
+
+    def run(key: tuple, models: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
+        if models.empty or ask.empty:
+            return pd.DataFrame(columns=names)
+        at = ask["_p"].to_numpy()
+        base = design.base(ask["_day"].to_numpy(dtype="float64"), np.zeros(len(ask)))[:, 1:]
+        out = []
+        for m in models.itertuples(index=False):
+            t = (at - m.train_start) / (m.train_end - m.train_start)
+            trend = np.column_stack([np.ones(len(t)), np.maximum(0.0, t[:, None] - np.asarray(m.knots))]) @ m.trend
+            season = base @ m.season
+            with np.errstate(over="ignore"):
+                told = np.expm1(trend + season if m.mode == "additive" else trend * (1 + season))
+            out.append(pd.DataFrame({"config_id": m.config_id, pos: at, "y_pred": told}))
         out = pd.concat(out)
         for name, k in zip(by, key, strict=True):
             out[name] = None if pd.isna(k) else k
         return out[names]
 
-    ddl = f"{key_ddl(df, keys)}, fold int, config_id int, {pos} bigint, y_pred double"
-    return met.groupBy(*by).cogroup(tests.groupBy(*by)).applyInPandas(run, ddl)
+    ddl = f"{key_ddl(states, keys)}, fold int, config_id int, {pos} bigint, y_pred double"
+    return states.groupBy(*by).cogroup(asked.groupBy(*by)).applyInPandas(run, ddl)
+
+
+def additive_forecast(
+    df: DataFrame,
+    folds: DataFrame,
+    keys: Sequence[str],
+    pos: str,
+    ts: str,
+    value: str,
+    configs: Sequence[dict],
+    terms: dict[str, tuple[float, int]] | None = None,
+    chunk: int = CHUNK,
+) -> DataFrame:
+    """Forecasts of ``additive_fit`` models over the test steps of every fold."""
+    states = additive_fit(df, folds, keys, pos, ts, value, configs, terms, chunk)
+    return additive_predict(states, fold_tests(df, folds, keys, pos, chunk), keys, pos, ts, terms)
 
 
 def grid_configs(grid: dict[str, list] | None = None) -> list[dict]:

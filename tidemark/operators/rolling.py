@@ -155,7 +155,7 @@ class _Arma:
             return np.expm1(np.array(z[len(tail) :]))
 
 
-def arma_folds(
+def arma_fit(
     df: DataFrame,
     folds: DataFrame,
     keys: Sequence[str],
@@ -165,13 +165,16 @@ def arma_folds(
     chunk: int = CHUNK,
     keep_stable: bool = True,
 ) -> DataFrame:
-    """(1,0,1)(1,0,1) with season on log1p, by two-stage least squares, for every fold at once.
+    """Fitted (1,0,1)(1,0,1) models with season on log1p, by two-stage least squares, of every fold at once.
 
     Stage one, a long autoregression, gives residuals that stand in for the shocks; stage two regresses on
     value and shock lags {1, m, m+1}. Shocks are linear in the values, so the second stage's cross products
     follow from products of values too, and both are differences of running sums at the fold's boundaries.
-    With ``keep_stable`` autoregressive parts outside the stable region are drawn into it. A fold without a whole row for the
-    fit, or shorter than a season and a step, has no forecast; a missing value near the cut-off gives null.
+    With ``keep_stable`` autoregressive parts outside the stable region are drawn into it. A fold without a
+    whole row for the fit, or shorter than a season and a step, has no row.
+
+    A row holds all a forecast needs: ``auto`` and ``model`` (coefficients) and ``tail`` (the last values of
+    the transformed series up to ``train_end``, null where one is missing).
     """
     keys, arma = list(keys), _Arma(period, keep_stable)
     by, reach = [*keys, "fold"], arma.reach
@@ -196,19 +199,19 @@ def arma_folds(
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            out = []
             for row in batch.itertuples(index=False):
                 top = np.asarray(row.s_end)
                 fit = arma.fit((top - np.asarray(row.s_near))[:cut], (top - np.asarray(row.s_far))[cut:])
                 if fit is None:
                     continue
-                tail = np.full(min(2 * reach, row.train_end - row.train_start), np.nan)
-                at = np.asarray(row.at) - (row.train_end - len(tail))
-                tail[at] = [np.nan if z is None else z for z in row.z]
-                out = pd.DataFrame({k: [getattr(row, k)] * row.horizon for k in by})
-                out[pos] = np.arange(row.train_end, row.train_end + row.horizon)
-                told = arma.forecast(tail, row.train_start, row.train_end, *fit, row.horizon)
-                out["y_pred"] = np.where(np.isfinite(told), told, np.nan)
-                yield out
+                tail: list[float | None] = [None] * min(2 * reach, row.train_end - row.train_start)
+                for p, z in zip(row.at, row.z):
+                    tail[p - (row.train_end - len(tail))] = None if z is None or np.isnan(z) else float(z)
+                known = [getattr(row, k) for k in (*by, "train_start", "train_end", "horizon")]
+                out.append((*known, *(c.tolist() for c in fit), tail))
+            names = [*by, "train_start", "train_end", "horizon", "auto", "model", "tail"]
+            yield pd.DataFrame(out, columns=names)
 
     ready = null_safe_join(fits, tails, by).select(
         *by,
@@ -221,8 +224,47 @@ def arma_folds(
         F.transform("_e", lambda e: e["p"]).alias("at"),
         F.transform("_e", lambda e: e["z"]).alias("z"),
     )
-    ddl = f"{key_ddl(df, keys)}, fold int, {pos} bigint, y_pred double"
-    return ready.mapInPandas(run, ddl).withColumn("y_pred", F.nanvl("y_pred", F.lit(None)))
+    ddl = (
+        f"{key_ddl(df, keys)}, fold int, train_start bigint, train_end bigint, horizon int, "
+        "auto array<double>, model array<double>, tail array<double>"
+    )
+    return ready.mapInPandas(run, ddl)
+
+
+def arma_forecast(states: DataFrame, keys: Sequence[str], pos: str, period: int) -> DataFrame:
+    """``(keys, fold, pos, y_pred)`` for the ``horizon`` steps after each fitted model's ``train_end``.
+
+    A missing value among the last ones it needs gives null forecasts.
+    """
+    keys, arma = list(keys), _Arma(period, True)
+    by = [*keys, "fold"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                out = pd.DataFrame({k: [getattr(row, k)] * row.horizon for k in by})
+                out[pos] = np.arange(row.train_end, row.train_end + row.horizon)
+                tail = np.array([np.nan if z is None else z for z in row.tail])
+                told = arma.forecast(tail, row.train_start, row.train_end, row.auto, row.model, row.horizon)
+                out["y_pred"] = np.where(np.isfinite(told), told, np.nan)
+                yield out
+
+    ddl = f"{key_ddl(states, keys)}, fold int, {pos} bigint, y_pred double"
+    return states.mapInPandas(run, ddl).withColumn("y_pred", F.nanvl("y_pred", F.lit(None)))
+
+
+def arma_folds(
+    df: DataFrame,
+    folds: DataFrame,
+    keys: Sequence[str],
+    pos: str,
+    value: str,
+    period: int,
+    chunk: int = CHUNK,
+    keep_stable: bool = True,
+) -> DataFrame:
+    """Forecasts of ``arma_fit`` models over the test steps of every fold."""
+    return arma_forecast(arma_fit(df, folds, keys, pos, value, period, chunk, keep_stable), keys, pos, period)
 
 
 # ---------------------------------------------------------------- scoring

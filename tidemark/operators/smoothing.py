@@ -83,6 +83,10 @@ def window_extremes(
     )
 
 
+#: Numbers of a fitted state besides its season.
+NUMBERS = ("alpha", "beta", "gamma", "phi", "level", "slope", "lo", "span", "sse")
+
+
 class _Stream:
     """State arrays of all folds and candidates of one form along one series."""
 
@@ -179,21 +183,11 @@ class _Stream:
             if not np.isfinite(sse).any():
                 continue
             best = job["at"] + int(np.nanargmin(np.where(np.isfinite(sse), sse, np.nan)))
-            steps = np.arange(1, job["horizon"] + 1)
-            damp = np.cumsum(s["phi"][best] ** steps)
-            told = np.full(job["horizon"], s["level"][best])
-            if self.trend == "add":
-                told = told + damp * s["slope"][best]
-            elif self.trend:
-                told = told * s["slope"][best] ** damp
-            if self.seasonal:
-                cycle = s["season"][(job["end"] + steps - 1) % m, best]
-                told = told + cycle if self.seasonal == "add" else told * cycle
-            if self.scaled:
-                told = (told - 1.0) * s["span"][best] + s["lo"][best]
-            if np.isfinite(told).all():
-                chosen = [float(s[k][best]) for k in ("alpha", "beta", "gamma", "phi")]
-                job["result"] = told, chosen, float(s["sse"][best]) * float(s["span"][best]) ** 2
+            state = {k: float(s[k][best]) for k in ("alpha", "beta", "gamma", "phi", "level", "slope", "lo", "span", "sse")}
+            state["sse"] *= state["span"] ** 2
+            # the season from the first step after the cut-off on
+            state["season"] = s["season"][(job["end"] + np.arange(m)) % m, best].tolist() if self.seasonal else []
+            job["state"] = state
         stay = [j for j in self.jobs if j not in done]
         keep = np.concatenate([np.arange(j["at"], j["at"] + j["width"]) for j in stay]) if stay else np.zeros(0, int)
         self.state = {k: v[..., keep] for k, v in s.items()}
@@ -235,13 +229,11 @@ def _run(streamed: DataFrame, keys: Sequence[str], pos: str, period: int, fitted
     by = [*keys, "_form"]
 
     def told(key: tuple, job: dict) -> pd.DataFrame:
-        values, chosen, sse = job.get("result") or ([None] * job["horizon"], [None] * 4, None)
-        out = {k: [v] * job["horizon"] for k, v in zip(keys, key)}
-        out |= {"fold": job["fold"], "config_id": job["config_id"]}
-        out |= {pos: np.arange(job["end"], job["end"] + job["horizon"]), "y_pred": pd.array(values, "Float64")}
-        for name, v in zip(("alpha", "beta", "gamma", "phi", "sse"), (*chosen, sse)):
-            out[name] = pd.array([v] * job["horizon"], "Float64")
-        return pd.DataFrame(out)
+        known = dict(zip(keys, key[:-1]))
+        trend, seasonal = (None if x == "none" else x for x in key[-1].split(" "))
+        row = {**known, "fold": job["fold"], "config_id": job["config_id"], "train_end": job["end"], "horizon": job["horizon"]}
+        row |= {"trend": trend, "seasonal": seasonal}
+        return pd.DataFrame([row | (job.get("state") or dict.fromkeys((*NUMBERS, "season")))])
 
     def seen(key: tuple, points: list[tuple]) -> pd.DataFrame:
         out = {k: [v] * len(points) for k, v in zip(keys, key)}
@@ -276,7 +268,7 @@ def _run(streamed: DataFrame, keys: Sequence[str], pos: str, period: int, fitted
                 yield from drain()
             else:
                 for job in jobs:
-                    yield told(key[:-1], job)
+                    yield told(key, job)
 
         for batch in batches:
             names = batch[by].astype(object).where(batch[by].notna(), None)
@@ -300,8 +292,14 @@ def _run(streamed: DataFrame, keys: Sequence[str], pos: str, period: int, fitted
                     yield from drain()
         yield from finish()
 
-    tail = "fitted double" if fitted else "y_pred double, alpha double, beta double, gamma double, phi double, sse double"
-    return streamed.mapInPandas(run, f"{key_ddl(streamed, keys)}, fold int, config_id int, {pos} bigint, {tail}")
+    if fitted:
+        return streamed.mapInPandas(run, f"{key_ddl(streamed, keys)}, fold int, config_id int, {pos} bigint, fitted double")
+    numbers = ", ".join(f"{c} double" for c in NUMBERS)
+    return streamed.mapInPandas(
+        run,
+        f"{key_ddl(streamed, keys)}, fold int, config_id int, train_end bigint, horizon int, trend string, "
+        f"seasonal string, {numbers}, season array<double>",
+    )
 
 
 def _with_candidates(configs: DataFrame, smoothing: dict[str, list[float]]) -> DataFrame:
@@ -315,7 +313,7 @@ def _with_candidates(configs: DataFrame, smoothing: dict[str, list[float]]) -> D
     )
 
 
-def smooth_folds(
+def smooth_fit(
     df: DataFrame,
     folds: DataFrame,
     keys: Sequence[str],
@@ -326,16 +324,64 @@ def smooth_folds(
     smoothing: dict[str, list[float]] | None = None,
     chunk: int = CHUNK,
 ) -> DataFrame:
-    """Forecasts per (series, fold, config_id), with the smoothing chosen by in-sample error and that error.
+    """Fitted states per (series, fold, config_id): level, slope and season at the cut-off, the smoothing chosen
+    by in-sample error, that error, and the scale of forms with a product.
 
-    A window shorter than two seasons, or with a position that lacks a value, gives null forecasts, which the
-    scoring treats as a failed fold. Null keys are keys like any other; an empty table gives no rows.
+    A window shorter than two seasons, or with a position that lacks a value, gives a row of nulls. Null keys
+    are keys like any other; an empty table gives no rows.
     """
     ready = _with_candidates(configs, smoothing or SMOOTHING)
     jobs = with_configs(window_extremes(df, folds, keys, pos, value, chunk), ready)
     return _run(_jobs_and_rows(df, jobs, keys, pos, value, chunk), keys, pos, period, False)
 
 
+def smooth_forecast(states: DataFrame, keys: Sequence[str], pos: str) -> DataFrame:
+    """``(keys, fold, config_id, pos, y_pred)`` for the ``horizon`` steps after each state's ``train_end``; null
+    where there is no state or a step is not finite."""
+    keys = list(keys)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                steps = np.arange(1, row.horizon + 1)
+                told = np.full(row.horizon, np.nan)
+                if row.season is not None:
+                    damp = np.cumsum(row.phi**steps)
+                    with np.errstate(all="ignore"):
+                        told = np.full(row.horizon, row.level)
+                        if row.trend == "add":
+                            told = told + damp * row.slope
+                        elif row.trend:
+                            told = told * row.slope**damp
+                        if row.seasonal:
+                            cycle = np.asarray(row.season)[(steps - 1) % len(row.season)]
+                            told = told + cycle if row.seasonal == "add" else told * cycle
+                        if "mul" in (row.trend, row.seasonal):
+                            told = (told - 1.0) * row.span + row.lo
+                out = pd.DataFrame({k: [getattr(row, k)] * row.horizon for k in (*keys, "fold", "config_id")})
+                out[pos] = np.arange(row.train_end, row.train_end + row.horizon)
+                out["y_pred"] = told if np.isfinite(told).all() else np.nan
+                yield out
+
+    ddl = f"{key_ddl(states, keys)}, fold int, config_id int, {pos} bigint, y_pred double"
+    return states.mapInPandas(run, ddl).withColumn("y_pred", F.nanvl("y_pred", F.lit(None)))
+
+
+def smooth_folds(
+    df: DataFrame,
+    folds: DataFrame,
+    keys: Sequence[str],
+    pos: str,
+    value: str,
+    period: int,
+    configs: DataFrame,
+    smoothing: dict[str, list[float]] | None = None,
+    chunk: int = CHUNK,
+) -> DataFrame:
+    """Forecasts of ``smooth_fit`` states over the test steps of every fold, null where a window has no fit."""
+    return smooth_forecast(smooth_fit(df, folds, keys, pos, value, period, configs, smoothing, chunk), keys, pos)
+
+
 def smooth_fitted(
     df: DataFrame,
     folds: DataFrame,
@@ -353,11 +399,8 @@ def smooth_fitted(
     """
     keys = list(keys)
     by = [*keys, "fold"]
-    best = smooth_folds(df, folds, keys, pos, value, period, configs, smoothing, chunk)
-    best = best.filter("y_pred is not null").groupBy(*by, "config_id").agg(
-        *[F.array(F.first(c)).alias(c) for c in ("alpha", "beta", "gamma", "phi")]
-    )
-    best = best.join(configs.select("config_id", "trend", "seasonal"), "config_id")
+    best = smooth_fit(df, folds, keys, pos, value, period, configs, smoothing, chunk).filter("season is not null")
+    best = best.select(*by, "config_id", "trend", "seasonal", *[F.array(c).alias(c) for c in ("alpha", "beta", "gamma", "phi")])
     jobs = null_safe_join(window_extremes(df, folds, keys, pos, value, chunk), best, by)
     told = _run(_jobs_and_rows(df, jobs, keys, pos, value, chunk), keys, pos, period, True)
     rows = df.select(*keys, pos, F.col(value).cast("double").alias("_v"))

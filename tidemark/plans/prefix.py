@@ -46,7 +46,7 @@ def sums_before(
     wanted = marks.select(*keys, "x").distinct().withColumn("_chunk", chunk_id("x", width))
     names = list(columns)
 
-    def run(key, part: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, part: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("_p")
         own = part["_own"].to_numpy(dtype=bool)
         at = part["_p"].to_numpy()

@@ -6,13 +6,15 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import require_columns
+from tidemark.functions.histogram import pair_histogram, parse_pairs
 
 # Nested or textual payload fields that do not become numeric columns.
 DROPPED_FIELDS = ["feeRange"]
+HISTOGRAM_FIELD = "fee_histogram"
 DROPPED_COLUMNS = [
     "difficulty_adjustment_estimatedRetargetDate",
     "difficulty_adjustment_previousRetarget",
@@ -46,8 +48,9 @@ def union_snapshots(frames: Sequence[DataFrame]) -> DataFrame:
 def payload_fields(df: DataFrame, endpoint: str = "endpoint", payload: str = "payload"):
     """Explode JSON payloads to ``(…, field, number)`` rows, field = endpoint + '_' + key.
 
-    A payload is one object or an array of objects of which the first counts. Values that are not
-    numbers (nested lists, texts) are left out.
+    A payload is one object or an array of objects of which the first counts. A nested list of fee and
+    count pairs becomes one field per histogram bin, empty ones 0; other values that are not numbers (lists,
+    texts) are left out.
     """
     as_map = "map<string,string>"
     body = F.trim(F.col(payload))
@@ -59,12 +62,17 @@ def payload_fields(df: DataFrame, endpoint: str = "endpoint", payload: str = "pa
         F.col(endpoint).alias("_endpoint"),
         F.explode(first).alias("_key", "_text"),
     )
+    name = F.concat_ws("_", "_endpoint", "_key")
+    bins = F.transform_keys(
+        pair_histogram(parse_pairs(F.col("_text"))), lambda k, _: F.concat(name, F.lit("_bin_"), k)
+    )
+    numbers = F.when(F.col("_key") == HISTOGRAM_FIELD, bins).otherwise(
+        F.create_map(name, F.expr("try_cast(_text as double)"))
+    )
     return (
         exploded.filter(~F.col("_key").isin(*DROPPED_FIELDS))
-        .withColumn("field", F.concat_ws("_", "_endpoint", "_key"))
-        .withColumn("number", F.expr("try_cast(_text as double)"))
+        .select(*[c for c in exploded.columns if c not in ("_endpoint", "_key", "_text")], F.explode(numbers).alias("field", "number"))
         .filter(F.col("number").isNotNull())
-        .drop("_endpoint", "_key", "_text")
     )
 
 
@@ -73,10 +81,12 @@ def flatten_payloads(df: DataFrame, fields: Sequence[str], key: str = "fetched_a
     discover it and files of every batch agree."""
     fields = [f for f in fields if f not in DROPPED_COLUMNS]
     long = payload_fields(df).filter(F.col("field").isin(*fields))
-    wide = long.groupBy(key).agg(
-        *[F.max(F.when(F.col("field") == f, F.col("number"))).alias(f) for f in fields]
-    )
-    return wide
+    return long.groupBy(key).agg(*wide_fields(fields))
+
+
+def wide_fields(fields: Sequence[str]) -> list[Column]:
+    """One column per field from (field, number) rows."""
+    return [F.max(F.when(F.col("field") == f, F.col("number"))).alias(f) for f in fields]
 
 
 def append_snapshots(df: DataFrame, path: str, ts: str) -> None:

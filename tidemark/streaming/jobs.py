@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tidemark.session import new_path
-from tidemark.sources.snapshots import payload_fields
+from tidemark.sources.snapshots import DROPPED_COLUMNS, payload_fields, wide_fields
 
 
 def stream_files(
@@ -36,6 +36,28 @@ def ingest_payloads(stream: DataFrame, endpoint: str, payload: str, ts: str) ->
     return payload_fields(named).withColumn("date", F.to_date(ts))
 
 
+def stream_snapshots(
+    stream: DataFrame,
+    fields: Sequence[str],
+    endpoint: str,
+    payload: str,
+    ts: str,
+    lateness: str = "30 minutes",
+) -> DataFrame:
+    """Landed JSON payloads to wide rows, one per snapshot instant, as ``flatten_payloads`` makes them.
+
+    The endpoints of a snapshot may land in any files and micro-batches: what has come is kept as state per
+    instant, and the row is written once the watermark passes it. A payload that lands twice changes nothing,
+    and a restarted job goes on with the state of its checkpoint.
+    """
+    named = stream.withColumnRenamed(endpoint, "endpoint").withColumnRenamed(payload, "payload")
+    long = payload_fields(named.select(F.col(ts).cast("timestamp").alias("_t"), "endpoint", "payload"))
+    fields = [f for f in fields if f not in DROPPED_COLUMNS]
+    timed = long.filter(F.col("field").isin(*fields)).withWatermark("_t", lateness)
+    wide = timed.groupBy("_t").agg(*wide_fields(fields))
+    return wide.select(F.col("_t").cast("timestamp_ntz").alias(ts), *fields)
+
+
 def stream_resample(
     stream: DataFrame,
     keys: Sequence[str],
