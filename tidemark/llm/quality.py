@@ -162,13 +162,13 @@ def _combine(mean: np.ndarray, least: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, in_training: Column, rows: int = SAMPLE_ROWS) -> Model:
-    """Model from labels whose doc_id passes ``in_training`` (a column of ``labels``).
+    """Model from labels 0 and 1 whose doc_id passes ``in_training`` (a column of ``labels``).
 
     At most ``rows`` labelled texts and ``SAMPLE_CHUNKS`` chunks of each reach the driver. With labels of one
     class only, every text gets that class.
     """
     picked = (
-        labels.filter(in_training & F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
+        labels.filter(in_training & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
         .select(F.col("doc_id").cast("long"), F.col("quality").cast("int").alias("y"))
         .orderBy(F.xxhash64("doc_id"), "doc_id", "y")
         .limit(rows)

@@ -97,7 +97,7 @@ def _packed(docs: DataFrame, path: str, chars: int, buckets: int) -> DataFrame:
             order = np.lexsort((code, bucket[code]))
             code, doc, freq = code[order], doc[order].astype(np.uint16), freq[order]
             first = np.flatnonzero(np.diff(code, prepend=-1))
-            sizes = np.diff(np.append(first, len(code))).astype(np.uint16)
+            sizes = np.diff(np.append(first, len(code))).astype(np.uint32)
             seen = code[first]
             turn = np.flatnonzero(np.diff(bucket[seen], prepend=-1))
             edges = np.append(first, len(code))
@@ -147,7 +147,7 @@ def _sums(packed: DataFrame, path: str) -> DataFrame:
             pieces = dict(zip(distinct, enc.counts(distinct)))
             for r, ws in zip(held, lists):
                 n = np.fromiter(map(pieces.__getitem__, ws), np.int64, len(ws))
-                n = np.repeat(n, np.frombuffer(open_(r["sizes"]), np.uint16))
+                n = np.repeat(n, np.frombuffer(open_(r["sizes"]), np.uint32))
                 n = n * np.frombuffer(open_(r["freqs"]), np.uint8)
                 found = np.bincount(np.frombuffer(open_(r["docs"]), np.uint16), n).astype(np.int64)
                 total = sums.get(r["block"])

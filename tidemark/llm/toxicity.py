@@ -27,8 +27,6 @@ from tidemark.session import durable
 
 #: Labelled rows the model is fitted on at most (those with the smallest hash of doc_id).
 SAMPLE_ROWS = 12_000
-#: Words with a score of their own at most (those with the largest likelihood ratio); all others drift.
-MODEL_WORDS = 50_000
 #: Weight of the pooled counts as prior, in words; least likelihood ratio of a scoring word; score of all
 #: other words; expected chance segments up to which a segment counts.
 PRIOR_WORDS = 20_000.0
@@ -114,12 +112,12 @@ def probability(model: Model, value):
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, in_training: Column, rows: int) -> DataFrame:
-    """``doc_id, text, y`` of at most ``rows`` labelled training documents.
+    """``doc_id, text, y`` of at most ``rows`` training documents labelled 0 or 1; other labels are left out.
 
     The labels are cut to the bound first, so the side that meets the documents is small at any size.
     """
     picked = (
-        labels.filter(in_training & F.col(label).isNotNull() & F.col("doc_id").isNotNull())
+        labels.filter(in_training & F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
         .select(F.col("doc_id").cast("long"), F.col(label).cast("int").alias("y"))
         .orderBy(F.xxhash64("doc_id"), "doc_id", "y")
         .limit(rows)
@@ -168,7 +166,8 @@ def fit(docs: DataFrame, labels: DataFrame, in_training: Column, rows: int = SAM
         "word", "c", ratio.alias("ratio"), (log_odds(t, n_t) - log_odds(c, n_c) - 1 / F.sqrt(t + prior)).alias("low")
     )
     top = scored.filter((F.col("ratio") >= MIN_RATIO) & (F.col("low") > 0))
-    top = top.orderBy(F.desc("ratio"), "word").limit(MODEL_WORDS).collect()
+    # words of the bounded sample
+    top = top.orderBy(F.desc("ratio"), "word").collect()
     scores = {r.word: float(r.low) for r in top}
     if not scores:
         return Model({}, 1.0, 1.0, 0.0, math.log(max(n_t, 1) / max(n_c, 1)))

@@ -140,6 +140,10 @@ class Encoder:
         first, *others = text.split(" ")
         return [first, *map(" ".__add__, others)]
 
+    def _unknown(self, text: str | None) -> bool:
+        """Whether a code point is one that Python's Unicode tables do not know."""
+        return bool(text and BEYOND.search(text) and any(unicodedata.category(c) == "Cn" for c in set(text)))
+
     def _sections(self, text: str | None):
         """(special string or None, normalised text) in order."""
         if text:
@@ -153,16 +157,20 @@ class Encoder:
                         yield None, self._normal(part)
 
     def tally(self, texts) -> tuple[list[dict[str, int]], list[int]]:
-        """For each text the frequencies of its pre-tokens, and its number of special strings."""
+        """For each text the frequencies of its pre-tokens, and its number of special strings (of all ids, where
+        the library reads the text whole)."""
         counts, marks = [], []
         for text in texts:
             runs: collections.Counter = collections.Counter()
             n = 0
-            for mark, part in self._sections(text):
-                if mark:
-                    n += 1
-                else:
-                    runs.update(self._cut(part))
+            if self._unknown(text):
+                n = len(self.library.encode(text, add_special_tokens=False).ids)
+            else:
+                for mark, part in self._sections(text):
+                    if mark:
+                        n += 1
+                    else:
+                        runs.update(self._cut(part))
             words: dict[str, int] = {}
             for run, k in runs.items():
                 for w in self._split(run):
@@ -224,7 +232,7 @@ class Encoder:
         A text with a code point that Python's Unicode tables do not know goes to the library whole, whose
         tables may be newer.
         """
-        if text and BEYOND.search(text) and any(unicodedata.category(c) == "Cn" for c in set(text)):
+        if self._unknown(text):
             ids = self.library.encode(text, add_special_tokens=False).ids
             return np.array(ids, np.uint32).tobytes()
         parts = [self.special[mark] if mark else self._encode(part) for mark, part in self._sections(text)]
