@@ -159,3 +159,21 @@ def test_a_part_of_a_horizon_scores_null(spark, assigned, df):
 
     ranks = {r.model: (r.rank, r.custom_loss) for r in leaderboard(evaluate(both, ["model"])).collect()}
     assert ranks["whole"][0] == 1 and ranks["part"] == (2, None)
+
+
+def test_search_refits_the_winner_and_falls_back(spark, df):
+    from tidemark.operators.trees import predict_trees, search_and_refit
+
+    rows = df.withColumn("x", F.col("value") * 2).filter("series_id = 'a'")
+    a = durable(assign_folds(rows, weekly_folds(lengths(rows, KEYS, "pos"), KEYS, "expanding", 30, H), KEYS, "pos"))
+    good = {"config_id": 4, "n_estimators": 3, "max_depth": 4}
+    configs = [{"config_id": 1, "n_estimators": 1, "max_depth": 1, "learning_rate": 0.01}, good, {"config_id": 2, "max_depth": 99}]
+    params, model = search_and_refit(a, rows, KEYS, "pos", "value", ["x"], configs)
+    assert params == good
+    holes = rows.withColumn("x", F.when(F.col("pos") != 3, F.col("x")))
+    told = {r.pos: r.y_pred for r in predict_trees(model, holes, ["x"]).collect()}
+    assert len(told) == N and told[3] is None and abs(told[50] - rows.filter("pos = 50").first().value) < 1.5
+    saved = {"n_estimators": 1, "max_depth": 1}
+    assert search_and_refit(a, rows, KEYS, "pos", "value", ["x"], configs[2:], saved)[0] == saved
+    with pytest.raises(RuntimeError):
+        search_and_refit(a, rows, KEYS, "pos", "value", ["x"], configs[2:])

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial, reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.errors import IllegalArgumentException
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.metrics import best_config, evaluate
 from tidemark.operators.scoring import with_actuals
 
-# The search grid. Keys MLlib has no counterpart for are accepted and unused.
+# The search grid. MLlib has no counterpart for reg_lambda, reg_alpha and max_delta_step.
 TREE_GRID = {
     "n_estimators": [50, 100, 150, 200],
     "max_depth": [2, 3, 4, 5, 6],
@@ -67,6 +70,22 @@ def predict_trees(
     return told.unionByName(rows.filter(~whole).withColumn("y_pred", F.lit(None).cast("double")))
 
 
+def _at_once(spark: SparkSession, tasks: Sequence[Callable], threads: int) -> list:
+    """Results of tasks that each run Spark jobs, a bounded number of them side by side, in a pool of their own
+    so that a fair scheduler shares the executors between them."""
+
+    def pooled(number: int, task: Callable):
+        def run():
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"fits-{number % threads}")
+            return task()
+
+        return inheritable_thread_target(spark)(run)
+
+    with ThreadPoolExecutor(threads) as pool:
+        futures = [pool.submit(pooled(k, task)) for k, task in enumerate(tasks)]
+        return [f.result() for f in futures]
+
+
 def tree_forecast(
     assigned: DataFrame,
     keys: Sequence[str],
@@ -75,18 +94,32 @@ def tree_forecast(
     features: Sequence[str],
     params: dict,
     seed: int = 42,
+    threads: int = 4,
 ) -> DataFrame:
-    """Forecasts per (series, fold); one distributed fit per fold number."""
+    """Forecasts per (series, fold); one distributed fit per fold number, several at a time."""
+    return _forecasts(assigned, keys, pos, target, features, [params], seed, threads)[0]
+
+
+def _forecasts(assigned, keys, pos, target, features, configs, seed, threads) -> list[DataFrame | None]:
+    """Forecasts of every configuration; None for one that MLlib refuses in any fold."""
     by = [*keys, "fold"]
     n_folds = assigned.agg(F.max("fold")).first()[0] or 0
-    result = None
-    for fold in range(1, n_folds + 1):
+
+    def fit(params: dict, fold: int):
         rows = assigned.filter(F.col("fold") == fold)
-        model = fit_trees(rows.filter(F.col("part") == "train"), features, target, params, seed)
-        one = predict_trees(model, rows.filter(F.col("part") == "test"), features)
-        one = one.select(*by, pos, "y_pred")
-        result = one if result is None else result.unionByName(one)
-    return result
+        try:
+            model = fit_trees(rows.filter(F.col("part") == "train"), features, target, params, seed)
+        except IllegalArgumentException:  # only what MLlib refuses; lost executors still fail
+            return None
+        return predict_trees(model, rows.filter(F.col("part") == "test"), features).select(*by, pos, "y_pred")
+
+    tasks = [partial(fit, params, fold) for params in configs for fold in range(1, n_folds + 1)]
+    done = _at_once(assigned.sparkSession, tasks, threads)
+    out: list[DataFrame | None] = []
+    for k in range(len(configs)):
+        parts = done[k * n_folds : (k + 1) * n_folds]
+        out.append(None if None in parts or not parts else reduce(DataFrame.unionByName, parts))
+    return out
 
 
 def tree_random_search(
@@ -97,24 +130,48 @@ def tree_random_search(
     features: Sequence[str],
     configs: Sequence[dict],
     seed: int = 42,
+    threads: int = 4,
 ) -> tuple[DataFrame, DataFrame]:
-    """(scores, best): mean composite loss of each configuration over the folds. A configuration
-    MLlib refuses is skipped; the winner is to be refitted on all data by the caller."""
-    spark = assigned.sparkSession
-    result = None
-    for params in configs:
-        try:
-            forecast = tree_forecast(assigned, keys, pos, target, features, params, seed)
-        except IllegalArgumentException as err:  # only what MLlib refuses; lost executors still fail
-            spark._jvm.System.err.println(f"configuration skipped: {params}: {err}")
-            continue
-        one = forecast.withColumn("config_id", F.lit(int(params["config_id"])))
-        result = one if result is None else result.unionByName(one)
-    if result is None:
+    """(scores, best): mean composite loss of each configuration over the folds.
+
+    The fits of all configurations and folds share a bounded pool of threads. A configuration MLlib refuses is
+    skipped, one with a step that has no forecast scores null."""
+    told = _forecasts(assigned, keys, pos, target, features, configs, seed, threads)
+    fitted = [(c, f) for c, f in zip(configs, told) if f is not None]
+    if not fitted:
         raise RuntimeError("no configuration could be fitted")
-    whole = with_actuals(assigned, result, keys, pos, target, ["config_id"])
+    every = reduce(DataFrame.unionByName, [f.withColumn("config_id", F.lit(int(c["config_id"]))) for c, f in fitted])
+    whole = with_actuals(assigned, every, keys, pos, target, ["config_id"])
     scored = evaluate(whole, ["config_id", "fold"])
-    scores = scored.groupBy("config_id").agg(
-        F.avg("custom_loss").alias("avg_custom_score"), F.count("custom_loss").alias("n_folds")
-    )
+    mean = F.when(F.count("custom_loss") == F.count(F.lit(1)), F.avg("custom_loss"))
+    scores = scored.groupBy("config_id").agg(mean.alias("avg_custom_score"), F.count("custom_loss").alias("n_folds"))
     return scores, best_config(scores, [], "avg_custom_score", "config_id")
+
+
+def search_and_refit(
+    assigned: DataFrame,
+    train: DataFrame,
+    keys: Sequence[str],
+    pos: str,
+    target: str,
+    features: Sequence[str],
+    configs: Sequence[dict],
+    saved: dict | None = None,
+    seed: int = 42,
+    threads: int = 4,
+) -> tuple[dict, GBTRegressionModel]:
+    """The best configuration of the search and a model of it fitted on all of ``train``.
+
+    Where no configuration can be fitted or scored, the ``saved`` parameters of an earlier search are used.
+    """
+    best = None
+    try:
+        _, ranked = tree_random_search(assigned, keys, pos, target, features, configs, seed, threads)
+        best = ranked.first()
+    except RuntimeError:
+        if saved is None:
+            raise
+    if best is None and saved is None:
+        raise RuntimeError("no configuration could be scored")
+    params = saved if best is None else next(c for c in configs if c["config_id"] == best["config_id"])
+    return params, fit_trees(train, features, target, params, seed)

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from tidemark.functions import special
 from tidemark.operators.aggregates import above_group_quantile, resample_sweep
 from tidemark.operators.features import centered_average, days_since_previous, week_index
-from tidemark.plans.chunks import CHUNK, over_halo, row_numbers, with_halo
+from tidemark.plans.chunks import CHUNK, null_safe_join, over_halo, row_numbers, with_halo
 from tidemark.plans.gram import gram, key_ddl, matrix, packed, solve
 from tidemark.plans.lookup import attach, attach_agg
 from tidemark.plans.order import positions, quantiles, running_counts, value_counts
@@ -219,34 +219,11 @@ def _adf_finish(g: np.ndarray, head: np.ndarray, n: int, top: int, p: int):
     return (coef[1] / se if se else math.nan), best, rows
 
 
-def adf_test(
-    df: DataFrame,
-    keys: Sequence[str],
-    pos: str,
-    value: str,
-    min_points: int = 50,
-    chunk: int = CHUNK,
+def _adf_sums(
+    known: DataFrame, sizes: DataFrame, keys: list[str], pos: str, value: str, top: int, chunk: int
 ) -> DataFrame:
-    """Augmented Dickey-Fuller test with constant and AIC lag choice, one row per group.
-
-    Lagged differences are window columns over halo chunks; the regression for every lag order
-    comes from one distributed cross-product matrix. Groups under ``min_points`` give nulls.
-    Differences are taken between the known values that follow each other, whatever ``pos`` skips.
-    """
-    keys = list(keys)
-    known = df.select(*keys, pos, value).filter(F.col(value).isNotNull())
-    known = row_numbers(known, keys, pos, "_t", chunk)
-    sizes = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("_mean"))
-    lag_of_n = F.greatest(
-        F.lit(0),
-        F.least(
-            F.floor(F.col("n") / 2) - 2,
-            F.ceil(12.0 * F.pow(F.col("n") / F.lit(100.0), F.lit(0.25))),
-        ),
-    ).cast("int")
-    sizes = sizes.withColumn("_p", lag_of_n)
-    top = sizes.agg(F.max("_p")).first()[0] or 0  # one number; it sets the number of columns
-    rows = attach(known, sizes.filter(F.col("n") >= min_points), keys, [pos], how="inner").select(
+    """``sizes`` with the packed cross products of level and ``top`` lagged differences, and the first values."""
+    rows = attach(known, sizes, keys, [pos], how="inner").select(
         *keys,
         "_t",
         (F.col(value) - F.col("_mean")).alias("_x"),
@@ -275,7 +252,45 @@ def adf_test(
         .agg(F.array_sort(F.collect_list(F.struct("_t", "_x"))).alias("_h"))
         .select(*keys, F.transform("_h", lambda e: e["_x"]).alias("head"))
     )
-    ready = sizes.join(sums, keys, "left").join(heads, keys, "left")
+    met = null_safe_join(null_safe_join(sizes, sums, keys, "left"), heads, keys, "left")
+    return met.select(*keys, "n", "_p", "gram", "head", F.lit(top).alias("top"))
+
+
+def adf_test(
+    df: DataFrame,
+    keys: Sequence[str],
+    pos: str,
+    value: str,
+    min_points: int = 50,
+    chunk: int = CHUNK,
+) -> DataFrame:
+    """Augmented Dickey-Fuller test with constant and AIC lag choice, one row per group.
+
+    Lagged differences are window columns over halo chunks; the regression for every lag order
+    comes from one distributed cross-product matrix. Groups under ``min_points`` give nulls.
+    Differences are taken between the known values that follow each other, whatever ``pos`` skips.
+    """
+    keys = list(keys)
+    known = df.select(*keys, pos, value).filter(F.col(value).isNotNull())
+    known = row_numbers(known, keys, pos, "_t", chunk)
+    sizes = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("_mean"))
+    lag_of_n = F.greatest(
+        F.lit(0),
+        F.least(
+            F.floor(F.col("n") / 2) - 2,
+            F.ceil(12.0 * F.pow(F.col("n") / F.lit(100.0), F.lit(0.25))),
+        ),
+    ).cast("int")
+    sizes = durable(sizes.withColumn("_p", lag_of_n))
+    # groups of similar lag order share a design, so short series do not carry the columns of long ones
+    order = F.length(F.bin("_p"))
+    classes = sizes.filter(F.col("n") >= min_points).groupBy(order.alias("class")).agg(F.max("_p").alias("top"))
+    ready = sizes.filter(F.col("n") < min_points).select(
+        *keys, "n", "_p", F.lit(None).cast("array<double>").alias("gram"), F.lit(None).cast("array<double>").alias("head"), F.lit(0).alias("top")
+    )
+    for c in classes.orderBy("class").collect():  # one row per power of two of the order
+        mine = sizes.filter((F.col("n") >= min_points) & (order == c["class"]))
+        ready = ready.unionByName(_adf_sums(known, mine, keys, pos, value, c["top"], chunk))
 
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -283,9 +298,9 @@ def adf_test(
             for row in batch.itertuples(index=False):
                 rec = {k: getattr(row, k) for k in keys} | {"n": row.n}
                 if row.gram is not None and row.n >= min_points:
-                    g = matrix(np.asarray(row.gram), top + 3)
+                    g = matrix(np.asarray(row.gram), row.top + 3)
                     stat, lag, nobs = _adf_finish(
-                        g, np.asarray(row.head), int(row.n), top, int(row.p)
+                        g, np.asarray(row.head), int(row.n), int(row.top), int(row.p)
                     )
                     rec |= {
                         "adf_stat": stat,
@@ -308,7 +323,7 @@ def adf_test(
         f"{key_ddl(df, keys)}, n bigint, adf_stat double, p_value double, used_lag int, nobs int, "
         "crit_1 double, crit_5 double, crit_10 double"
     )
-    return ready.select(*keys, "n", F.col("_p").alias("p"), "gram", "head").mapInPandas(
+    return ready.select(*keys, "n", F.col("_p").alias("p"), "gram", "head", "top").mapInPandas(
         finish, schema
     )
 

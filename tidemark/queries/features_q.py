@@ -10,7 +10,7 @@ from tidemark.functions import calendar, text
 from tidemark.functions.histogram import HISTOGRAM_PREFIX, bin_columns, bin_start
 from tidemark.operators import features
 from tidemark.operators.aggregates import bin_totals
-from tidemark.operators.clean import clean_series
+from tidemark.operators.clean import clean_series, clean_snapshots
 from tidemark.plans.order import average_ranks, value_counts
 from tidemark.queries.registry import (
     DAY,
@@ -432,3 +432,37 @@ def _matrix(d):
 def m24_gapped(spark, sf):
     """Hours without a value are dropped first: lags and shifts count the hours that are left."""
     return _matrix(gapped(spark, sf).select("series_id", "pos", "value"))
+
+
+def _raw_filled(column: str) -> str:
+    src = (
+        f"raw_{column} AS (SELECT 'all' AS series_id, g.slot, g.slot - min(g.slot) OVER () AS pos, "
+        f"make_timestamp(g.slot * 900000000) AS ts, r.{column} AS value FROM raw_grid g LEFT JOIN raw_bins r ON r.slot = g.slot)"
+    )
+    return f"{src},\n{filled_cte(f'raw_{column}', f'fill_{column}').strip()}"
+
+
+@query(
+    "m23_clean_snapshots",
+    sql(
+        f"SELECT a.ts, {rs('a.value')} AS mempool_count, {rs('b.value')} AS \"price_USD\" "
+        "FROM fill_count a JOIN fill_usd b ON b.pos = a.pos",
+        "raw_bins AS (SELECT CAST(epoch_us(ts) // 900000000 AS BIGINT) AS slot, avg(k) AS count, "
+        "avg(CASE WHEN series_id = 'purchase' THEN value END) AS usd FROM ev GROUP BY 1)",
+        "raw_grid AS (SELECT unnest(generate_series(min(slot), max(slot))) AS slot FROM raw_bins)",
+        _raw_filled("count"),
+        _raw_filled("usd"),
+    ),
+)
+def m23_raw(spark, sf):
+    """The cleaning from its real entry: wide raw snapshots with an epoch, other prices and high bins."""
+    of = lambda t: F.when(F.col("series_id") == t, F.col("value"))
+    raw = events(spark, sf).select(
+        F.unix_seconds(F.col("ts").cast("timestamp")).alias("timestamp"),
+        F.col("k").alias("mempool_count"),
+        of("purchase").alias("price_USD"),
+        of("click").alias("price_EUR"),
+        of("view").alias("mempool_fee_histogram_bin_300_350"),
+    )
+    out = clean_snapshots(raw)
+    return out.select("ts", rd("mempool_count").alias("mempool_count"), rd("price_USD").alias("price_USD"))

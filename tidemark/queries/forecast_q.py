@@ -18,7 +18,15 @@ from tidemark.operators.rolling import (
     naive_folds,
     score_fold_forecast,
 )
-from tidemark.operators.smoothing import SMOOTHING, hw_configs, smooth_cv, smooth_fitted, smooth_folds
+from tidemark.operators.smoothing import (
+    SMOOTHING,
+    hw_configs,
+    smooth_cv,
+    smooth_fit,
+    smooth_fitted,
+    smooth_folds,
+    smooth_forecast,
+)
 from tidemark.operators.splits import (
     counted_folds,
     lengths,
@@ -27,7 +35,7 @@ from tidemark.operators.splits import (
     weekly_folds,
     window_folds,
 )
-from tidemark.operators.trees import tree_forecast, tree_random_search
+from tidemark.operators.trees import predict_trees, search_and_refit, tree_forecast, tree_random_search
 from tidemark.queries.registry import (
     DAY,
     HORIZON,
@@ -44,7 +52,8 @@ from tidemark.queries.registry import (
     sql,
 )
 from tidemark.queries.rows_q import SCORE_CTES
-from tidemark.session import durable
+from tidemark.session import durable, new_path
+from tidemark.sources.models import load_state, save_state
 
 FIXED = {"alpha": [0.3], "beta": [0.05], "gamma": [0.1], "phi": [1.0]}
 
@@ -227,6 +236,23 @@ def m13c(spark, sf):
     return out.select("series_id", "fold", "config_id", "pos", rd("fitted", 7).alias("fitted"), rd("resid", 7).alias("resid"))
 
 
+@query(
+    "s10_fitted_states",
+    sql(
+        f"SELECT series_id, config_id, pos, {rs('y_pred', 7)} AS y_pred FROM hw_pred",
+        smoothing_ctes(LAST_WINDOW, HW_ALL).strip(),
+    ),
+)
+def s10_states(spark, sf):
+    """Smoothing states fitted, saved as a version, loaded again and forecast from."""
+    d, folds = _last(spark, sf)
+    path = new_path(spark, "models")
+    states = smooth_fit(d, folds, KEYS, "pos", "value", DAY, hw_configs(spark))
+    save_state(states, path, "holt_winters", 1)
+    out = smooth_forecast(load_state(spark, path, "holt_winters"), KEYS, "pos")
+    return out.select("series_id", "config_id", "pos", rd("y_pred", 7).alias("y_pred"))
+
+
 CV_WINDOW, CV_STEP = 336, 168
 CV_WINDOWS = (
     f"SELECT series_id, CAST(i + 1 AS INTEGER) AS fold, i * {CV_STEP} AS a, i * {CV_STEP} + {CV_WINDOW} AS b, {HORIZON} AS h "
@@ -305,6 +331,19 @@ def m17(spark, sf):
     return tree_random_search(assigned, KEYS, "pos", "value", TREE_FEATURES, configs)[0]
 
 
+@query("m17_refit_winner")
+def m17_refit(spark, sf):
+    """Forecasts of the last day by the search's winner, fitted again on all rows before it."""
+    rows = tree_rows(spark, sf)
+    sizes = lengths(rows, KEYS, "pos")
+    search = durable(assign_folds(rows, counted_folds(sizes, KEYS, 2, HORIZON), KEYS, "pos"))
+    last = durable(assign_folds(rows, fc.last_day_fold(sizes, KEYS, HORIZON), KEYS, "pos"))
+    configs = [{**TREE_PARAMS, "config_id": k, "max_depth": k + 1} for k in (1, 2)]
+    train = last.filter("part = 'train'")
+    _, model = search_and_refit(search, train, KEYS, "pos", "value", TREE_FEATURES, configs, TREE_PARAMS)
+    return predict_trees(model, last.filter("part = 'test'"), TREE_FEATURES).select(*KEYS, "pos", "y_pred")
+
+
 # hourly steps cannot tell terms of a period of one hour apart
 TERMS = {k: v for k, v in SEASONAL_TERMS.items() if k != "hourly"}
 ADDITIVE = {

@@ -414,7 +414,7 @@ EXPANDING_CTE = f"""
 folds AS (
   SELECT series_id, n, i AS fold, 0 AS train_start, i * {WEEK} AS train_end,
          i * {WEEK} AS test_start, i * {WEEK} + {HORIZON} AS test_end
-  FROM sizes, generate_series(1, 1000) g(i) WHERE i * {WEEK} + {HORIZON} <= n)"""
+  FROM (SELECT *, unnest(generate_series(1, n // {WEEK} + 1)) AS i FROM sizes) WHERE i * {WEEK} + {HORIZON} <= n)"""
 
 
 @query(

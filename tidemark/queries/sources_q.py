@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions import calendar
+from tidemark.functions.histogram import bin_columns
 from tidemark.queries.registry import (
+    HOUR,
     both_models,
     TYPES,
     daily_orders,
@@ -16,6 +19,7 @@ from tidemark.queries.registry import (
     sql,
     table,
 )
+from tidemark.queries.rows_q import hist_cte
 from tidemark.session import new_path
 from tidemark.sources import snapshots, tables
 
@@ -49,6 +53,24 @@ def s02(spark, sf):
     return snapshots.flatten_payloads(landed, [f"{t}_k" for t in TYPES])
 
 
+@query(
+    "s02_flatten_histogram",
+    sql(
+        f"SELECT make_timestamp(slot * {HOUR * 1_000_000}) AS fetched_at, n AS mempool_count, {', '.join(bin_columns())} "
+        f"FROM hist JOIN (SELECT CAST(epoch_us(ts) // {HOUR * 1_000_000} AS BIGINT) AS slot, CAST(count(*) AS DOUBLE) AS n "
+        "FROM ev GROUP BY 1) USING (slot)",
+        hist_cte(),
+    ),
+)
+def s02_histogram(spark, sf):
+    """Payloads with a nested list of fee and count pairs, one an hour, come out as bins."""
+    e = events(spark, sf).withColumn("fetched_at", calendar.slot_start(calendar.slot("ts", HOUR), HOUR))
+    pairs = F.collect_list(F.array("value", "k")).alias("fee_histogram")
+    landed = e.groupBy("fetched_at").agg(F.to_json(F.struct(pairs, F.count(F.lit(1)).alias("count"))).alias("payload"))
+    landed = landed.withColumn("endpoint", F.lit("mempool"))
+    return snapshots.flatten_payloads(landed, ["mempool_count", *bin_columns()])
+
+
 @query(
     "s03_append_sink",
     "SELECT CAST(ts AS DATE) AS date, count(*) AS n, "

@@ -111,7 +111,8 @@ def m05(spark, sf):
     )
 
 
-ENC, MIN_ENC = 48, 24
+# a week and half a week of hours
+ENC, MIN_ENC = 168, 84
 WINDOW_SQL = (
     "SELECT series_id, origin, CAST(encoder_length AS INTEGER) AS encoder_length, "
     f"CAST(decoder_length AS INTEGER) AS decoder_length, {rs('enc_sum', 7)} AS enc_sum, {rs('dec_sum', 7)} AS dec_sum, "
@@ -142,14 +143,13 @@ def _window_summary(out):
 @query(
     "m06_encoder_windows",
     sql(
-        WINDOW_SQL + f"WHERE encoder_length >= {MIN_ENC} AND decoder_length = {HORIZON} "
-        f"AND (origin - {MIN_ENC}) % 6 = 0"
+        WINDOW_SQL + f"WHERE encoder_length >= {MIN_ENC} AND decoder_length = {HORIZON}"
     ),
 )
 def m06(spark, sf):
     d = dense(spark, sf)
     return _window_summary(
-        splits.encoder_windows(d, KEYS, "pos", "value", ENC, MIN_ENC, HORIZON, stride=6)
+        splits.encoder_windows(d, KEYS, "pos", "value", ENC, MIN_ENC, HORIZON)
     )
 
 
@@ -170,10 +170,10 @@ def m06b(spark, sf):
 def fold_sql(fold: str, edges: list[str], source: str, where: str) -> str:
     names = ["train_start", "train_end", "test_start", "test_end"]
     cols = ", ".join(f"CAST({e} AS BIGINT) AS {n}" for e, n in zip(edges, names, strict=True))
-    return sql(f"SELECT series_id, CAST({fold} AS INTEGER) AS fold, {cols} FROM sizes, {source} WHERE {where}")
+    return sql(f"SELECT series_id, CAST({fold} AS INTEGER) AS fold, {cols} FROM {source} WHERE {where}")
 
 
-SERIES = "generate_series(0, 1000) g(i)"
+SERIES = "(SELECT *, unnest(generate_series(0, n)) AS i FROM sizes)"
 
 
 @query(
@@ -252,7 +252,7 @@ def m09(spark, sf):
         "SELECT series_id, CAST(row_number() OVER (PARTITION BY series_id ORDER BY c) AS INTEGER) AS fold, "
         "CAST(0 AS BIGINT) AS train_start, CAST(c + 1 AS BIGINT) AS train_end, CAST(c + 1 AS BIGINT) AS test_start, "
         f"CAST(c + 1 + {HORIZON} AS BIGINT) AS test_end FROM (SELECT series_id, n - 1 - {HORIZON} - i * {DAY} AS c "
-        f"FROM sizes, {SERIES}) WHERE c >= {WEEK}"
+        f"FROM {SERIES}) WHERE c >= {WEEK}"
     ),
 )
 def m10(spark, sf):

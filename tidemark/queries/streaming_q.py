@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators.tsstats import spike_thresholds
-from tidemark.queries.registry import KEYS, events, query, rd, rs, table
+from tidemark.queries.registry import KEYS, TYPES, events, query, rd, rs, table
 from tidemark.session import durable
 from tidemark.streaming import jobs
 
@@ -26,6 +26,22 @@ def st1(spark, sf):
     return jobs.run_available(landed.drop("ts"), "ingest")
 
 
+@query(
+    "st1_assemble_snapshots",
+    "SELECT * FROM (SELECT ts AS fetched_at, "
+    + ", ".join(
+        f"max(CASE WHEN event_type = '{t}' THEN CAST(json_extract_string(props, '$.k') AS DOUBLE) END) AS {t}_k" for t in TYPES
+    )
+    + " FROM events GROUP BY ts) WHERE epoch_us(fetched_at) <= "
+    "(SELECT max(epoch_us(ts)) // 1000 * 1000 FROM events) - 1800000000",
+)
+def st1_wide(spark, sf):
+    """Wide rows straight from the stream; the last half hour is still open."""
+    raw = event_stream(spark, sf).select(F.col("ts").alias("fetched_at"), "event_type", "props")
+    wide = jobs.stream_snapshots(raw, [f"{t}_k" for t in TYPES], "event_type", "props", "fetched_at")
+    return jobs.run_available(wide, "snapshots")
+
+
 @query(
     "st2_resample_stream",
     "SELECT event_type AS series_id, make_timestamp((epoch_us(ts) // 900000000) * 900000000) AS ts, "
