@@ -1,9 +1,10 @@
 """Holt-Winters smoothing over folds and configurations without gathering a training window.
 
-The rows of a series stream through one task in order, once for each form (trend x season); every fold and
-every candidate of the form is a column of the same state arrays, so the history is read once however many
-folds hold it, and memory depends on columns and season length, not on the length of the series. A fold joins
-when its first two seasons have passed and leaves at its cut-off with the best candidate's forecast.
+Forms without a product are fitted by a parallel scan over chunks (``smoothing_scan``). For the others the rows
+of a series stream through one task in order, once for each form (trend x season); every fold and every
+candidate of the form is a column of the same state arrays, so the history is read once however many folds
+hold it, and memory depends on columns and season length, not on the length of the series. A fold joins when
+its first two seasons have passed and leaves at its cut-off with the best candidate's state.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.metrics import cv_scores
 from tidemark.operators.reshape import parameter_grid, with_configs
 from tidemark.operators.rolling import score_fold_forecast
+from tidemark.operators.smoothing_scan import Form, scan_fit
 from tidemark.plans.chunks import CHUNK, chunk_id, null_safe_join
 from tidemark.plans.gram import key_ddl
 from tidemark.session import durable
@@ -313,6 +315,15 @@ def _with_candidates(configs: DataFrame, smoothing: dict[str, list[float]]) -> D
     )
 
 
+def _additive_forms(configs: DataFrame, period: int, smoothing: dict[str, list[float]]) -> list[Form]:
+    """The forms without a product, each with the candidates of its configurations."""
+    grids: dict[tuple, dict[int, np.ndarray]] = {}
+    for r in configs.orderBy("config_id").collect():  # a literal grid
+        grid = candidates(r["trend"], r["seasonal"], r["damped"], smoothing)
+        grids.setdefault((r["trend"], r["seasonal"]), {})[r["config_id"]] = grid
+    return [Form(trend, seasonal, period, g) for (trend, seasonal), g in grids.items()]
+
+
 def smooth_fit(
     df: DataFrame,
     folds: DataFrame,
@@ -330,9 +341,26 @@ def smooth_fit(
     A window shorter than two seasons, or with a position that lacks a value, gives a row of nulls. Null keys
     are keys like any other; an empty table gives no rows.
     """
-    ready = _with_candidates(configs, smoothing or SMOOTHING)
-    jobs = with_configs(window_extremes(df, folds, keys, pos, value, chunk), ready)
-    return _run(_jobs_and_rows(df, jobs, keys, pos, value, chunk), keys, pos, period, False)
+    keys, smoothing = list(keys), smoothing or SMOOTHING
+    windows = durable(window_extremes(df, folds, keys, pos, value, chunk))
+    product = F.coalesce(F.col("trend") == "mul", F.lit(False)) | F.coalesce(F.col("seasonal") == "mul", F.lit(False))
+    streamed, forms = configs.filter(product), _additive_forms(configs.filter(~product), period, smoothing)
+    out = None
+    if not streamed.isEmpty():
+        jobs = with_configs(windows, _with_candidates(streamed, smoothing))
+        out = _run(_jobs_and_rows(df, jobs, keys, pos, value, chunk), keys, pos, period, False)
+    if forms:
+        long = windows.filter(F.col("_whole") & (F.col("train_end") - F.col("train_start") >= 2 * period))
+        told = scan_fit(df, long, keys, pos, value, forms, chunk)
+        # windows without a fit keep a row of nulls
+        every = with_configs(windows, configs.filter(~product)).select(
+            *keys, "fold", "config_id", "train_end",
+            (F.col("test_end") - F.col("test_start")).cast("int").alias("horizon"), "trend", "seasonal",
+        )
+        fitted = told.drop("train_end", "horizon", "trend", "seasonal")
+        told = null_safe_join(every, fitted, [*keys, "fold", "config_id"], "left")
+        out = told if out is None else out.unionByName(told)
+    return out
 
 
 def smooth_forecast(states: DataFrame, keys: Sequence[str], pos: str) -> DataFrame:
