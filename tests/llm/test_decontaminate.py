@@ -107,3 +107,21 @@ def test_drop_leaked(spark):
     assert {r.doc_id for r in kept.collect()} == {d for d, _ in docs} - {d for d, _ in planted} | {None}
     assert dc.drop_leaked(frame, bench.filter("false")).count() == len(docs) + 1
     assert not dc.find_leaks(frame.filter("false"), bench).collect()
+
+
+def test_clustered_edits_at_the_full_budget_beside_short_items():
+    """All edits of a long item's match lie in one part of it; short items of the block must hide none of it."""
+    rng = random.Random(12)
+    letters = "abcdefghijklmnop "
+    draw = lambda n: "".join(rng.choice(letters) for _ in range(n)).replace("  ", "ab")
+    long = draw(394).strip()
+    short = [(k, draw(80)) for k in range(1, 6)]
+    for rows in ([(0, long)], [(0, long), *short]):
+        items = dc.index_items(rows)
+        budget = int(items.budget[items.ids.index(0)])
+        for trial in range(20):
+            chars = list(long)
+            for k in range(budget):
+                chars[9 * k + 3] = "#"
+            text = f"{draw(300)} {''.join(chars)} {draw(300)}"
+            assert any(items.ids[k] == 0 for _, k, *_ in dc.find_items(items, [text])), (len(rows), trial)

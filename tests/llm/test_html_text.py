@@ -53,3 +53,24 @@ def test_time_follows_length():
     for page in ('<p "' * 40_000, "<" * 200_000, "<div>" * 50_000, "<script>" * 20_000, f"<p>{LONG}" * 20_000):
         main_text(page)
     assert time.process_time() - start < 20
+
+
+PROSE = "This is the story of a long day in which all of us went out to see what the weather would bring to the town."
+
+
+def test_unclosed_and_wrapping_elements_keep_the_article():
+    article = f"<article><p>{PROSE}</p><p>{PROSE}</p></article>"
+    want = f"{PROSE}\n{PROSE}"
+    for page in (
+        f"<html><head><title>T</title><body>{article}</body></html>",
+        f"<html><head><title>T</title><script>var a = 1;</script><div>{article}</div></html>",
+        f"<html><head><script>document.write('<div>x</div>')</script></head><body>{article}</body></html>",
+        f"<body><svg/><svg class='icon' />{article}<svg><text>no</text></svg></body>",
+        f"<body><div class='has-sidebar'>{article}</div></body>",
+        f"<body><form action='/'><input name='q'>{article}</form></body>",
+    ):
+        assert main_text(page) == want, page
+    # comments stay out, in articles of their own too, as does what a menu holds
+    page = f"<body>{article}<div class='comments'><article><p>{PROSE} Says a reader.</p></article></div></body>"
+    assert main_text(page) == want
+    assert main_text(f"<body><nav><article><p>{PROSE}</p></article></nav></body>") == ""

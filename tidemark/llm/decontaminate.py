@@ -71,8 +71,9 @@ class Items:
     item: np.ndarray
     place: np.ndarray
     table: np.ndarray
-    window: int  # every match fills a stretch of this length
+    window: int  # every match holds a stretch of this length
     least: int  # with this many hits
+    reach: int  # and is no longer than this
 
 
 def index_items(rows: list[tuple[int, str]], rate: float = EDIT_RATE) -> Items | None:
@@ -108,11 +109,16 @@ def index_items(rows: list[tuple[int, str]], rate: float = EDIT_RATE) -> Items |
         table,
         window,
         max(1, least),
+        int(reach.max()),
     )
 
 
-def _rich(hit: np.ndarray, window: int, least: int) -> np.ndarray:
-    """Hits inside some window that holds at least ``least`` of them."""
+def _rich(hit: np.ndarray, window: int, least: int, reach: int) -> np.ndarray:
+    """Hits in reach of some window that holds at least ``least`` of them.
+
+    A match holds such a window and is no longer than ``reach``, so none of its hits is left out, whatever
+    other items stand in the block.
+    """
     at = np.flatnonzero(hit)
     if len(at) < least:
         return at[:0]
@@ -121,7 +127,14 @@ def _rich(hit: np.ndarray, window: int, least: int) -> np.ndarray:
     first = np.flatnonzero(close)
     np.add.at(cover, first, 1)
     np.add.at(cover, first + least, -1)
-    return at[np.cumsum(cover[:-1]) > 0]
+    rich = at[np.cumsum(cover[:-1]) > 0]
+    if not len(rich):
+        return rich
+    after = np.searchsorted(rich, at)
+    far = np.minimum(
+        np.abs(at - rich[np.maximum(after - 1, 0)]), np.abs(rich[np.minimum(after, len(rich) - 1)] - at)
+    )
+    return at[far <= reach]
 
 
 def align(item: np.ndarray, part: np.ndarray, budget: int, low: int, high: int) -> tuple[int, int, int] | None:
@@ -173,7 +186,7 @@ def find_items(items: Items, texts: list[str]) -> list[tuple[int, int, int, int,
     codes = np.concatenate([x for c, _ in pairs for x in (c, np.array([0x110000], np.uint32))])
     starts = np.cumsum(sizes + 1) - sizes - 1
     h = _grams(codes)
-    at = _rich(items.table[h >> np.uint32(32 - TABLE_BITS)], items.window, items.least)
+    at = _rich(items.table[h >> np.uint32(32 - TABLE_BITS)], items.window, items.least, items.reach)
     lo = np.searchsorted(items.gram, h[at], "left")
     n = np.searchsorted(items.gram, h[at], "right") - lo
     at, lo, n = at[n > 0], lo[n > 0], n[n > 0]

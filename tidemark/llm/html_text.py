@@ -39,7 +39,7 @@ BLOCKS = frozenset(
     tbody td tfoot th thead title tr ul""".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = "script style noscript template textarea select svg iframe object canvas audio video math button head".split()
+SKIPPED = "script style noscript template textarea select svg iframe object canvas audio video math button".split()
 NEVER = frozenset("nav aside footer form menu dialog".split())
 #: Words in class, id or role that mark what is not main text, anywhere or outside an article.
 HINTS = frozenset(
@@ -55,10 +55,17 @@ LONG = 70
 STOP_LOW = 0.1
 LINKS = 0.33
 
+ATTRIBUTES = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+"
+#: Elements that only a body holds.
+BODY = "body article main div p h[1-6] section nav header footer ul ol table form".replace(" ", "|")
+
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<(?P<skip>{'|'.join(SKIPPED)})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=skip)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
+    # a head, which ends at the body where it is not closed; foreign elements that close themselves
+    rf"|<head\b{ATTRIBUTES}>(?:.*?</head\s*>|.*?(?=<(?:{BODY})\b)|.*)"
+    rf"|<(?:svg|math)\b{ATTRIBUTES}(?<=/)>"
+    rf"|<(?P<skip>{'|'.join(SKIPPED)})\b{ATTRIBUTES}>.*?(?:</(?P=skip)\s*>|\Z)"
+    rf"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>{ATTRIBUTES})>"
     r"|<[!?/a-zA-Z][^>]*(?:>|\Z)",
     re.S | re.I,
 )
@@ -76,8 +83,12 @@ class Block:
     label: bool | None = None
 
 
-def blocks_of(page: str) -> list[Block]:
-    """Blocks with text in page order; unclosed and stray tags are put up with."""
+def blocks_of(page: str, lenient: bool = False) -> list[Block]:
+    """Blocks with text in page order; unclosed and stray tags are put up with.
+
+    When ``lenient``, an article or main element is not barred by a form or a hint further up, as where one
+    wraps the whole page.
+    """
     out: list[Block] = []
     stack: list[tuple[str, bool, int]] = [("", False, 0)]  # element, barred inside, region
     regions = 0
@@ -128,6 +139,8 @@ def blocks_of(page: str) -> list[Block]:
         if tag in VOID or m["rest"].endswith("/"):
             continue
         _, barred, region = stack[-1]
+        if lenient and tag in ("article", "main") and not any(x[0] in NEVER - {"form"} for x in stack):
+            barred = False
         if tag in ("article", "main") and not barred:
             regions += 1
             region = regions
@@ -191,12 +204,19 @@ def second_pass(blocks: list[Block]) -> None:
 
 
 def main_text(page: str | None) -> str:
-    """Main text of a page: its blocks, each on one line; empty if there is none."""
-    blocks = blocks_of(page or "")
-    for b in blocks:
-        b.label = first_pass(b)
-    second_pass(blocks)
-    return "\n".join(b.text for b in blocks if b.label)
+    """Main text of a page: its blocks, each on one line; empty if there is none.
+
+    A page on which nothing is left is read once more, its articles free of what surrounds them.
+    """
+    for lenient in (False, True):
+        blocks = blocks_of(page or "", lenient)
+        for b in blocks:
+            b.label = first_pass(b)
+        second_pass(blocks)
+        text = "\n".join(b.text for b in blocks if b.label)
+        if text:
+            return text
+    return ""
 
 
 def extract_text(pages: DataFrame, column: str = "html") -> DataFrame:
