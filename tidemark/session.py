@@ -33,7 +33,7 @@ def local_session(app: str = "tidemark", cores: str = "*") -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
-    Only where the cluster names none (tests on one machine) is a folder of our own set.
+    Only on one machine (tests) is a folder of our own set where none is named; a cluster must name one.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
@@ -44,6 +44,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     own = tempfile.mkdtemp(prefix="tidemark-")
     sc.setCheckpointDir(own)
     return sc._jsc.sc().getCheckpointDir().get()
