@@ -88,3 +88,24 @@ def test_run(spark, tmp_path):
     spark.createDataFrame([(d, int(d in toxic)) for d in range(60)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert cp.run(spark, str(tmp_path)).count() > 0
+
+
+def test_stages_pass_on_columns_of_any_name(spark, tmp_path):
+    """Names that operators use themselves, no n_chars, repeated ids, an empty and a very long text."""
+    docs, toxic, _, items = tables()
+    names = "toxicity passages kept n_lines n_dropped runs key pos component_id digest profile".split()
+    rows = [(d, t, *[f"{n} {d}" for n in names]) for d, t in [*docs[:40], docs[1], (9, "another text of the same id"), (2000, ""), (2001, "w " * 200_000)]]
+    schema = "doc_id long, text string, " + ", ".join(f"{n} string" for n in names)
+    spark.createDataFrame([(d, int(d in toxic)) for d in range(40)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for some in (rows, []):
+        frame = spark.createDataFrame(some, schema)
+        for k, (name, stage) in enumerate(cp.STAGES[:-1]):
+            path = str(tmp_path / f"{len(some)}-{k}")
+            stage(spark, frame, str(tmp_path)).write.parquet(path)
+            frame = spark.read.parquet(path)
+            assert frame.columns == ["doc_id", "text", *names], name
+            for r in frame.collect():
+                assert all(r[n] == f"{n} {r.doc_id}" for n in names), name
+        assert (frame.count() > 0) == bool(some)
+        assert (cp.pack(spark, frame, str(tmp_path)).count() > 0) == bool(some)
