@@ -8,6 +8,7 @@ every configuration, and what is stored is linear in the length of a series.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Sequence
 from itertools import groupby
@@ -78,12 +79,32 @@ class _Moments:
         self.powers = (m0, (m1 - start * m0) / span, (m2 - 2 * start * m1 + start * start * m0) / span**2)
         self.targets = (y0, (y1 - start * y0) / span)
 
-    def pick(self, rows: np.ndarray) -> _Moments:
+    def pick(self, rows: np.ndarray, knots: np.ndarray) -> _Moments:
+        """Only the given places, which are the knots of a trend."""
         out = object.__new__(_Moments)
-        out.design = self.design
+        out.design, out.knots = self.design, knots
         out.powers, out.targets = (tuple(a[rows] for a in part) for part in (self.powers, self.targets))
         return out
 
+    @functools.cached_property
+    def between(self) -> list[np.ndarray]:
+        """The sums over the rows between two knots."""
+        return [np.vstack([p[:-1] - p[1:], p[-1:]]) for p in (*self.powers, *self.targets)]
+
+    @functools.cached_property
+    def added(self) -> tuple[np.ndarray, np.ndarray]:
+        """Normal equations of trend and season side by side."""
+        q, knots = self.design.q, self.knots
+        powers = [p[:, :q] for p in self.powers]  # pairs (1, b)
+        k = len(knots) + 1
+        a = np.zeros((k + q - 1, k + q - 1))
+        a[:k, :k] = _trend_products(knots, [p[:, 0] for p in powers])
+        a[:k, k:] = _hinged(knots, powers[0][:, 1:], powers[1][:, 1:])
+        a[k:, :k] = a[:k, k:].T
+        a[k:, k:] = self.square(self.powers[0][0])[1:, 1:]
+        towards = _hinged(knots, self.targets[0][:, :1], self.targets[1][:, :1]).ravel()
+        return a, np.concatenate([towards, self.targets[0][0, 1:]])
+
     def square(self, row: np.ndarray) -> np.ndarray:
         """Symmetric q x q matrix from pair sums."""
         full = np.zeros((self.design.q, self.design.q))
@@ -123,24 +144,17 @@ def _ridge(a: np.ndarray, rhs: np.ndarray, penalty: np.ndarray) -> np.ndarray:
         return np.linalg.lstsq(a / np.outer(scale, scale), rhs / scale, rcond=1e-12)[0] / scale
 
 
-def _fit_additive(m: _Moments, knots: np.ndarray, trend: np.ndarray, season: float) -> tuple[np.ndarray, np.ndarray]:
-    q = m.design.q
-    powers = [p[:, :q] for p in m.powers]  # pairs (1, b)
-    a = np.zeros((len(knots) + q, len(knots) + q))
-    k = len(knots) + 1
-    a[:k, :k] = _trend_products(knots, [p[:, 0] for p in powers])
-    a[:k, k:] = _hinged(knots, powers[0][:, 1:], powers[1][:, 1:])
-    a[k:, :k] = a[:k, k:].T
-    a[k:, k:] = m.square(m.powers[0][0])[1:, 1:]
-    rhs = np.concatenate([_hinged(knots, m.targets[0][:, :1], m.targets[1][:, :1]).ravel(), m.targets[0][0, 1:]])
-    coef = _ridge(a, rhs, np.concatenate([trend, np.full(q - 1, season)]))
-    return coef[:k], coef[k:]
+def _fit_additive(m: _Moments, trend: np.ndarray, season: float) -> tuple[np.ndarray, np.ndarray]:
+    a, rhs = m.added
+    coef = _ridge(a, rhs, np.concatenate([trend, np.full(m.design.q - 1, season)]))
+    return coef[: len(trend)], coef[len(trend) :]
 
 
-def _fit_multiplicative(m: _Moments, knots: np.ndarray, trend: np.ndarray, season: float) -> tuple[np.ndarray, np.ndarray]:
+def _fit_multiplicative(m: _Moments, trend: np.ndarray, season: float) -> tuple[np.ndarray, np.ndarray]:
     """trend (1 + season) by turns: each part is linear while the other stands."""
-    q = m.design.q
+    q, knots = m.design.q, m.knots
     gamma = np.zeros(q - 1)
+    between = m.between
     for _ in range(SWEEPS):
         weight = np.concatenate([[1.0], gamma])
         rhs = _hinged(knots, (m.targets[0] @ weight)[:, None], (m.targets[1] @ weight)[:, None]).ravel()
@@ -148,7 +162,6 @@ def _fit_multiplicative(m: _Moments, knots: np.ndarray, trend: np.ndarray, seaso
         # between two knots the trend is level + slope * t
         slope = np.cumsum(beta[1:])
         level = beta[0] - np.cumsum(beta[1:] * knots)
-        between = [np.vstack([p[:-1] - p[1:], p[-1:]]) for p in (*m.powers, *m.targets)]
         squares = m.square(level**2 @ between[0] + 2 * (level * slope) @ between[1] + slope**2 @ between[2])
         towards = level @ between[3] + slope @ between[4]
         gamma = _ridge(squares[1:, 1:], towards[1:] - squares[0, 1:], np.full(q - 1, season))
@@ -210,12 +223,12 @@ def additive_fit(
         at = fit["_c"].to_numpy()
         for shape, members in groupby(configs if whole.powers[0][0, 0] > 0 else [], key=_shape):
             knots = shapes[shape]
-            m = whole.pick(np.searchsorted(at, knots))
+            m = whole.pick(np.searchsorted(at, knots), knots)
             for c in members:
                 trend = np.full(len(knots) + 1, 1.0 / c["changepoint_prior_scale"])
                 trend[:2] = FREE
                 solve = _fit_additive if c["seasonality_mode"] == "additive" else _fit_multiplicative
-                beta, gamma = solve(m, knots, trend, 1.0 / c["seasonality_prior_scale"] ** 2)
+                beta, gamma = solve(m, trend, 1.0 / c["seasonality_prior_scale"] ** 2)
                 known = [None if pd.isna(k) else k for k in key]
                 out.append((*known, c["config_id"], first, last, c["seasonality_mode"], knots.tolist(), beta.tolist(), gamma.tolist()))
         return pd.DataFrame(out, columns=columns)
