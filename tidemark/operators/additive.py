@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.calendar import SEASONAL_TERMS, changepoints, days
 from tidemark.operators.rolling import fold_tests, score_fold_forecast
-from tidemark.plans.chunks import CHUNK
+from tidemark.plans.chunks import CHUNK, spread
 from tidemark.plans.gram import key_ddl
 from tidemark.plans.lookup import attach
 from tidemark.plans.order import quantiles
@@ -237,7 +237,7 @@ def additive_fit(
         f"{key_ddl(df, keys)}, fold int, config_id int, train_start bigint, train_end bigint, mode string, "
         "knots array<double>, trend array<double>, season array<double>"
     )
-    return met.groupBy(*by).applyInPandas(run, ddl)
+    return spread(met, *by).groupBy(*by).applyInPandas(run, ddl)
 
 
 def additive_predict(

@@ -21,7 +21,7 @@ from tidemark.operators.metrics import cv_scores
 from tidemark.operators.reshape import parameter_grid, with_configs
 from tidemark.operators.rolling import score_fold_forecast
 from tidemark.operators.smoothing_scan import Form, scan_fit
-from tidemark.plans.chunks import CHUNK, chunk_id, null_safe_join
+from tidemark.plans.chunks import CHUNK, chunk_id, null_safe_join, spread
 from tidemark.plans.gram import key_ddl
 from tidemark.session import durable
 
@@ -222,7 +222,7 @@ def _jobs_and_rows(df, jobs, keys, pos, value, chunk) -> DataFrame:
     nothing = F.lit(None).cast(jobs.schema["_job"].dataType)
     rows = rows.select(*keys, "_form", "_p", "_v", nothing.alias("_job"))
     heads = jobs.select(*keys, "_form", F.lit(None).cast("bigint").alias("_p"), F.lit(None).cast("double").alias("_v"), "_job")
-    both = heads.unionByName(rows).repartition(*keys, "_form")
+    both = spread(heads.unionByName(rows), *keys, "_form")
     return both.sortWithinPartitions(*keys, "_form", F.col("_p").asc_nulls_first())
 
 

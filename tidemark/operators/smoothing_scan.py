@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.reshape import assign_folds
-from tidemark.plans.chunks import CHUNK, chunk_id, null_safe_join
+from tidemark.plans.chunks import CHUNK, chunk_id, null_safe_join, spread
 from tidemark.plans.gram import key_ddl
 from tidemark.session import durable
 
@@ -122,7 +122,7 @@ def scan_fit(
         return pd.DataFrame(out, columns=[*keys, "_form", "_from", "_len", "_v"])
 
     ddl = f"{key_ddl(df, keys)}, _form int, _from bigint, _len int, _v array<double>"
-    maps = rows.groupBy(*home).cogroup(edges.groupBy(*home)).applyInPandas(nothing, ddl)
+    maps = spread(rows, *home).groupBy(*home).cogroup(spread(edges, *home).groupBy(*home)).applyInPandas(nothing, ddl)
 
     head = folds.withColumn("train_end", F.col("train_start") + 2 * period)
     head = head.withColumn("test_start", F.col("train_end")).withColumn("test_end", F.col("train_end"))
@@ -171,7 +171,7 @@ def scan_fit(
         return pd.DataFrame(out, columns=[*keys, "_form", "_start", "_from", "_sse"])
 
     ddl = f"{key_ddl(df, keys)}, _form int, _start bigint, _from bigint, _sse array<double>"
-    sums = rows.groupBy(*home).cogroup(begun.groupBy(*home)).applyInPandas(errors, ddl)
+    sums = spread(rows, *home).groupBy(*home).cogroup(spread(begun, *home).groupBy(*home)).applyInPandas(errors, ddl)
 
     columns = [
         *by, "config_id", "train_end", "horizon", "trend", "seasonal",

@@ -59,6 +59,12 @@ def over_halo(
     )
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """Rows dealt by columns over all shuffle partitions. Small tables whose rows are costly to work on would
+    otherwise be merged into few tasks by their bytes."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def null_safe_join(
     left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner"
 ) -> DataFrame:
@@ -178,5 +184,6 @@ __all__ = [
     "over_halo",
     "row_numbers",
     "running_sum",
+    "spread",
     "with_halo",
 ]
