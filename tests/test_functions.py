@@ -43,6 +43,14 @@ def test_pairs_and_rows_agree(spark):
     assert {k: flat[histogram.HISTOGRAM_PREFIX + k] for k in wide} == wide
 
 
+def test_pairs_are_read_once_for_all_bins(spark):
+    # a random fee lands in one bin only if its pair is evaluated once a row, not once for each bin
+    fee = F.floor(F.rand(7) * 990) + 1.5
+    totals = histogram.pair_histogram(F.array(F.array(fee, F.lit(1.0))))
+    rows = spark.range(100).select(totals.alias("h")).collect()
+    assert [sum(r.h.values()) for r in rows] == [1.0] * 100
+
+
 def test_shares_add_up(spark):
     cols = histogram.bin_columns()[:3]
     df = spark.createDataFrame([(1.0, 2.0, 1.0)], ", ".join(f"{c} double" for c in cols))

@@ -49,19 +49,25 @@ def parse_pairs(text: Column) -> Column:
 
 
 def pair_histogram(pairs: Column) -> Column:
-    """``[[fee, count], ...]`` to a map label -> total count, malformed pairs skipped; null stays null."""
+    """``[[fee, count], ...]`` to a map label -> total count, malformed pairs skipped; null stays null.
+
+    The labelled pairs are bound to a variable: Spark evaluates an expression inside a lambda at each call, so
+    the pairs would be parsed and labelled once for each bin.
+    """
     good = F.filter(pairs, lambda p: (F.size(p) == 2) & (p[0] >= 1) & p[1].isNotNull())
     labelled = F.transform(
         good, lambda p: F.struct(bin_label(p[0]).alias("label"), p[1].alias("count"))
     )
-    return F.map_from_arrays(
-        F.array(*[F.lit(x) for x in bin_labels()]),
-        F.transform(
-            F.array(*[F.lit(x) for x in bin_labels()]),
+    labels = F.array(*[F.lit(x) for x in bin_labels()])
+
+    def totals(bound: Column) -> Column:
+        return F.transform(
+            labels,
             lambda b: F.aggregate(
-                F.filter(labelled, lambda q: q["label"] == b),
+                F.filter(bound, lambda q: q["label"] == b),
                 F.lit(0.0),
                 lambda acc, q: acc + q["count"],
             ),
-        ),
-    )
+        )
+
+    return F.map_from_arrays(labels, F.transform(F.array(labelled), totals)[0])
