@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tidemark.llm import packing, token_counts, token_store
+from tidemark.llm import packing, token_counts, token_store, vocab
 from tidemark.llm.vocab import encoder, vocabulary
 
 BYTES, WORDS = vocabulary("byte_bpe_50k.json"), vocabulary("word_bpe_49k.json")
@@ -39,6 +39,51 @@ def test_encoder_equals_the_library(path):
     same()
 
 
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_blocks_equal_the_library(path, monkeypatch):
+    enc, library = encoder(path), Tokenizer.from_file(path)
+    texts = [None, *ODD, "the end. " * 50, "a\u3000b\x85c\xa0d it's x1y2", "\u0378 new", *ODD[::-1]]
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+    def same():
+        return [np.frombuffer(x, np.uint32).tolist() for x in enc.encode_all(texts)] == want
+
+    for block in [1, 40, 4_000_000]:
+        monkeypatch.setattr(vocab, "BLOCK_CHARS", block)
+        enc.forget()
+        assert same() and same()
+        monkeypatch.setattr(vocab, "CACHE_CHARS", 30)
+        assert same()
+        monkeypatch.undo()
+    assert enc.encode_all([]) == [] and enc.encode_all([""]) == [b""]
+
+    @given(st.lists(st.text(max_size=30), max_size=5))
+    @settings(max_examples=200, deadline=None)
+    def alike(texts):
+        assert enc.encode_all(texts) == [enc.encode(t) for t in texts]
+
+    alike()
+
+
+def test_runs_of_a_block_are_learned_together(monkeypatch):
+    enc, calls = encoder(WORDS), []
+    enc.forget()
+    merger = enc.merger
+
+    class Counted:
+        def encode_ordinary(self, text):
+            calls.append(len(text))
+            return merger.encode_ordinary(text)
+
+    monkeypatch.setattr(enc, "merger", Counted())
+    texts = [f"shared word{chr(97 + k % 26)}{'xyz' * (k // 26)}" for k in range(200)]
+    got = enc.encode_all(texts)
+    assert len(calls) == 1
+    library = Tokenizer.from_file(WORDS)
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, np.uint32).tolist() for x in got] == want
+
+
 @given(st.lists(st.integers(1, 6000), max_size=60), st.booleans())
 @settings(max_examples=200, deadline=None)
 def test_pack_covers_each_token_once(lengths, last):
@@ -122,6 +167,18 @@ def test_token_store(spark, tmp_path):
     assert "EqualTo(doc_id,7)" in one._jdf.queryExecution().toString()
 
 
+def test_token_store_batches_by_bytes(spark, tmp_path, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(token_store, "BATCH_BYTES", 10)
+    texts = ["a" * 4, None, "", "b" * 30, "c", "é" * 4, "d" * 3]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts)], names=["doc_id", "text"])
+    parts = list(token_store._batches(batch))
+    assert [x for p in parts for x in p.column(1).to_pylist()] == texts
+    assert len(parts) > 2 and all(p.num_rows for p in parts)
+    assert not list(token_store._batches(batch.slice(0, 0)))
+
+
 def test_empty_token_store(spark, tmp_path):
     target = str(tmp_path / "none")
     token_store.write_tokens(docs(spark, []), target, WORDS, 2)

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,12 +22,21 @@ from tidemark.llm.vocab import encoder
 #: Rows between entries of the row index, and bytes of a stripe.
 INDEX_ROWS = 1_000
 STRIPE_BYTES = 16 << 20
-#: Documents of an Arrow batch that leaves a task.
-BATCH = 500
+#: Bytes of text of an Arrow batch that leaves a task, give or take one document.
+BATCH_BYTES = 4 << 20
 
 STORED = "doc_id long, ids array<int>, n_tokens long, part int, part_start long"
 
 
+def _batches(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows of about ``BATCH_BYTES`` of text (second column)."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // BATCH_BYTES)) + 1
+    bounds = [0, *cuts.tolist(), batch.num_rows] if batch.num_rows else []
+    for a, b in zip(bounds, bounds[1:]):
+        yield batch.slice(a, b - a)
+
+
 def encode_ordered(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """Ids of every document (columns ``doc_id``, ``text``) in ranges of ascending doc_id.
 
@@ -39,9 +49,8 @@ def encode_ordered(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         end = np.uint32(end_id).tobytes()
         part, start = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for k in range(0, batch.num_rows, BATCH):
-                some = batch.slice(k, BATCH)
-                ids = [enc.encode(t) + end for t in some.column(1).to_pylist()]
+            for some in _batches(batch):
+                ids = [x + end for x in enc.encode_all(some.column(1).to_pylist())]
                 n = np.array([len(x) // 4 for x in ids], np.int64)
                 ends = np.cumsum(n)
                 flat = pa.array(np.frombuffer(b"".join(ids), np.int32))

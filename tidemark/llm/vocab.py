@@ -14,6 +14,8 @@ import re
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: The split patterns of the two vocabulary files. L, N, S: letters, numbers, white space.
 BYTE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+"
@@ -22,6 +24,8 @@ WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[{L}]+|[{N}]|[^{S}{L}{N}]+"
 SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Characters a worker keeps in its cache before it starts over.
 CACHE_CHARS = 12_000_000
+#: Characters of the texts that are encoded together.
+BLOCK_CHARS = 4_000_000
 #: Characters past the Latin blocks; outside the basic plane; white space after a space; what Python alone takes for white space.
 BEYOND = re.compile("[\u0370-\U0010ffff]")
 ASTRAL = re.compile("[\U00010000-\U0010ffff]")
@@ -218,6 +222,23 @@ class Encoder:
             self.runs[r] = self.words[ws[0]] if len(ws) == 1 else b"".join([self.words[w] for w in ws])
         self.held += sum(map(len, words)) + sum(map(len, new))
 
+    def _learn_words(self, runs: list[str]) -> None:
+        """As ``_learn`` where each pre-token ends in a mark of its own: the runs are merged in one call."""
+        if self.held > CACHE_CHARS:
+            self.forget()
+        new = [r for r in runs if r not in self.runs]
+        if not new:
+            return
+        # a run of letters is one pre-token
+        cut = [[r] if r.isalpha() else self._split(r) for r in new]
+        joined = "".join(["\n".join(ws) + "\n" if ws else "" for ws in cut])
+        ids = np.array(self.merger.encode_ordinary(joined), np.uint32)
+        ends = np.concatenate([[0], 4 * (np.flatnonzero(self.ends[ids]) + 1)])
+        last = ends[np.cumsum([len(ws) for ws in cut])].tolist()
+        raw = ids.tobytes()
+        self.runs.update(zip(new, [raw[a:b] for a, b in zip([0, *last], last)]))
+        self.held += sum(map(len, new))
+
     def _encode(self, text: str) -> bytes:
         runs = self._cut(text)
         try:
@@ -238,6 +259,42 @@ class Encoder:
         parts = [self.special[mark] if mark else self._encode(part) for mark, part in self._sections(text)]
         return parts[0] if len(parts) == 1 else b"".join(parts)
 
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """``encode`` of each text.
+
+        Where white space ends every pre-token, plain texts are encoded in blocks: each distinct run between
+        ASCII white space is looked up once a block and its ids are dealt to its places as arrays.
+        """
+        out: list[bytes | None] = [None] * len(texts)
+        plain, chars = [], 0
+        for k, text in enumerate(texts):
+            if not self.lowers or text and ("<|" in text or self._unknown(text)):
+                out[k] = self.encode(text)
+                continue
+            plain.append(k)
+            chars += len(text or "")
+            if chars >= BLOCK_CHARS:
+                self._encode_block(texts, plain, out)
+                plain, chars = [], 0
+        self._encode_block(texts, plain, out)
+        return out
+
+    def _encode_block(self, texts: list[str | None], places: list[int], out: list[bytes | None]) -> None:
+        if not places:
+            return
+        normal = pa.array([self._normal(texts[k] or "") for k in places], pa.large_string())
+        split = pc.ascii_split_whitespace(normal)
+        coded = split.flatten().dictionary_encode()
+        runs = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self._learn_words(runs)
+        ids = pa.array(list(map(self.runs.__getitem__, runs)), pa.large_binary()).take(coded.indices)
+        _, offsets, raw = ids.buffers()
+        starts = np.frombuffer(offsets, np.int64)[ids.offset : ids.offset + len(ids) + 1]
+        ends = starts[split.offsets.to_numpy()].tolist()
+        raw = raw.to_pybytes() if raw else b""
+        for k, a, b in zip(places, ends, ends[1:]):
+            out[k] = raw[a:b]
+
 
 @functools.cache
 def encoder(path: str) -> Encoder:
